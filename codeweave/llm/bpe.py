@@ -18,6 +18,7 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import sys
 import unicodedata
@@ -43,7 +44,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # From here on tables of Unicode versions differ; stand-ins of each class for characters they disagree on.
 FIRST_DISPUTED, STAND_IN = "՘", {"L": "a", "N": "1", "O": "!", "S": " "}
 
-CACHE_WORDS, CACHE_CHARS, SPLIT_CHARS = 150_000, 48, 1 << 20
+#: A worker keeps the ids of two generations of so many pre-tokens of so many characters at most.
+CACHE_WORDS, CACHE_CHARS, SPLIT_CHARS, NEVER = 250_000, 48, 1 << 20, 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -100,7 +102,8 @@ class Codec:
         vocab = {raw(t): i for t, i in model["vocab"].items()}
         merges = [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.made = [vocab[a + b] for a, b in merges]
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, i in vocab.items():
@@ -120,46 +123,38 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Merges over one bounded piece, lowest rank first, then leftmost."""
         ids = [self.single[b] for b in piece]
-        pairs = self.pairs
         if len(ids) > 40:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, low = None, 1 << 60
-            for pair in zip(ids, ids[1:]):
-                hit = pairs.get(pair)
-                if hit is not None and hit[0] < low:
-                    low, best, new = hit[0], pair, hit[1]
-            if best is None:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == best[0] and ids[i + 1] == best[1]:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        rank, made = self.rank.get, self.made
+        ranks = list(map(rank, zip(ids, ids[1:]), itertools.repeat(NEVER)))
+        while ranks and (low := min(ranks)) != NEVER:
+            i = ranks.index(low)
+            ids[i:i + 2] = made[low],
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        pairs, n = self.pairs, len(ids)
+        rank, made, n = self.rank.get, self.made, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(hit[0], i, ids[i], ids[i + 1], hit[1]) for i in range(n - 1) if (hit := pairs.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            low, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = made[low], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if hit := pairs.get((new, ids[k])):
-                    heapq.heappush(heap, (hit[0], i, new, ids[k], hit[1]))
-            if (p := before[i]) >= 0 and (hit := pairs.get((ids[p], new))):
-                heapq.heappush(heap, (hit[0], p, ids[p], new, hit[1]))
+                if (r := rank((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+            if (p := before[i]) >= 0 and (r := rank((ids[p], ids[i]))) is not None:
+                heapq.heappush(heap, (r, p, ids[p], ids[i]))
         return [x for x in ids if x >= 0]
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
@@ -220,15 +215,16 @@ class Codec:
 
 
 class _Words(dict):
-    """Pre-token -> ids, of short pre-tokens, at most CACHE_WORDS of them at a time."""
+    """Pre-token -> ids, of short pre-tokens; the generation before the present one is kept beside it."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.codec.word(piece)
+        out = self.older.get(piece) or self.codec.word(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
