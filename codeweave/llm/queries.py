@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweave.llm import bpe
+from codeweave.llm import bpe, exact_dedup, lang_id, secrets
 from codeweave.llm.common import read_table
 
 #: Where the vocabulary files lie; a parameter, as they are never part of this repository.
@@ -23,5 +23,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
+    "op10_lang_id": op10_lang_id,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": """
+        with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x
+                   from documents),
+             g as (select x, max(doc_id) as keep_id, count(*)::bigint as group_size from t group by x)
+        select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.x) as text_sha256,
+               octet_length(encode(t.x))::bigint as n_bytes
+        from t join g using (x)""",
+}
