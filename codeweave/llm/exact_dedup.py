@@ -110,4 +110,14 @@ def exact_duplicates(docs: DataFrame, name: Callable[[bytes], bytes] = name_of)
     key = ["n_bytes", "recipe", "extra"]
     groups = listed.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return listed.join(groups, key).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", "n_bytes")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without exact copies: of equal texts the row with the largest id stays, with its own columns."""
+    marked = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER), 256)
+    return docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked["__id"]) & (own == marked["__sha"]), "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweave.llm import ann, bpe, exact_dedup, lang_id, secrets, simhash
+from codeweave.llm import ann, bpe, chat, exact_dedup, lang_id, mixing, secrets, simhash
 from codeweave.llm.common import read_table
 
 #: Where the vocabulary files lie; a parameter, as they are never part of this repository.
@@ -27,6 +27,14 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.windows(chat.probe_conversation(read_table(spark, sf_dir, "conversations"))))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +54,8 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ann": op2_ann,
+    "op3_mixing": op3_mixing,
+    "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,

@@ -167,3 +167,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents of which no nearly equal one has a smaller id, with their own columns."""
+    first = (near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__id"]), "left_semi")
