@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweave.llm import ann, bpe, chat, exact_dedup, lang_id, mixing, secrets, simhash
+from codeweave.llm import ann, bpe, chat, exact_dedup, lang_id, mixing, secrets, simhash, suffix_dedup
 from codeweave.llm.common import read_table
 
 #: Where the vocabulary files lie; a parameter, as they are never part of this repository.
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(chat.probe_conversation(read_table(spark, sf_dir, "conversations"))))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ann": op2_ann,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
