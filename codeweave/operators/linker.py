@@ -21,8 +21,8 @@ def exported_symbols(records: dict[str, DataFrame]) -> DataFrame:
 
 def link_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Imports with ``resolved_file`` by the relative rule alone: other sources stay null."""
-    near = resolve.exact(resolve._beside(F.col("source"), F.col("file_path")), registry.RESOLVE_EXTENSIONS, registry.INDEX_FILES)
-    cands = F.when(F.startswith("source", F.lit(".")), near).otherwise(resolve._NONE)
+    near = resolve.exact(resolve.beside(F.col("source"), F.col("file_path")), registry.RESOLVE_EXTENSIONS, registry.INDEX_FILES)
+    cands = F.when(F.startswith("source", F.lit(".")), near).otherwise(resolve.nothing())
     once = imports.select("file_path", "source").distinct()
     found = resolve.first_found(once, ["file_path", "source"], cands, resolve.path_index(files))
     return imports.join(found, ["file_path", "source"], "left")

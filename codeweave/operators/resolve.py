@@ -56,7 +56,8 @@ def _in(space: str | Column, key: Column) -> Column:
     return F.struct((F.lit(space) if isinstance(space, str) else space).alias("space"), key.alias("key"))
 
 
-_NONE = F.array().cast("array<struct<space:string,key:string>>")
+def nothing() -> Column:
+    return F.array().cast("array<struct<space:string,key:string>>")
 
 
 def exact(base: Column, exts: list[str], index_files: list[str]) -> Column:
@@ -101,37 +102,37 @@ def rust_candidates(source: Column, names: Column, from_file: Column) -> Column:
     tail = F.when(first == "self", rest).otherwise(F.slice(rest, more + 1, F.size(rest)))
     here = paths.dirname(from_file, climb)
     path = F.when(here == "", F.array_join(tail, "/")).otherwise(F.concat(here, F.lit("/"), F.array_join(tail, "/")))
-    near = F.when(F.size(tail) == 0, _NONE).when(wild, F.array(_in("below.rs", path))).otherwise(exact(path, [".rs"], ["mod.rs"]))
-    return F.when((first == "crate") & (F.size(rest) > 0), crate).when(first.isin("super", "self"), near).otherwise(_NONE)
+    near = F.when(F.size(tail) == 0, nothing()).when(wild, F.array(_in("below.rs", path))).otherwise(exact(path, [".rs"], ["mod.rs"]))
+    return F.when((first == "crate") & (F.size(rest) > 0), crate).when(first.isin("super", "self"), near).otherwise(nothing())
 
 
-def _beside(source: Column, from_file: Column) -> Column:
+def beside(source: Column, from_file: Column) -> Column:
     return paths.normalised(paths.joined(paths.dirname(from_file), source))
 
 
 def dart_candidates(source: Column, from_file: Column, package: str | None) -> Column:
     own = F.lit(f"package:{package}/") if package else F.lit(None).cast("string")
     inside = by_suffix(F.concat(F.lit("lib/"), F.substring(source, len(f"package:{package}/") + 1, 1 << 20)))
-    return F.when(F.startswith(source, F.lit("dart:")), _NONE).when(F.coalesce(F.startswith(source, own), F.lit(False)), inside).when(
-        F.startswith(source, F.lit("package:")), _NONE).otherwise(exact(_beside(source, from_file), [".dart"], []))
+    return F.when(F.startswith(source, F.lit("dart:")), nothing()).when(F.coalesce(F.startswith(source, own), F.lit(False)), inside).when(
+        F.startswith(source, F.lit("package:")), nothing()).otherwise(exact(beside(source, from_file), [".dart"], []))
 
 
 def php_candidates(source: Column, from_file: Column) -> Column:
-    near = _beside(source, from_file)
+    near = beside(source, from_file)
     spaced = F.concat(F.replace(source, F.lit("\\"), F.lit("/")), F.lit(".php"))
-    more = F.when(F.endswith(near, F.lit(".php")), _NONE).otherwise(F.array(_in("path", F.concat(near, F.lit(".php")))))
+    more = F.when(F.endswith(near, F.lit(".php")), nothing()).otherwise(F.array(_in("path", F.concat(near, F.lit(".php")))))
     return F.when(F.contains(source, F.lit("\\")), by_suffix(spaced)).when(
         source.rlike(r"^[./]"), F.concat(F.array(_in("path", near)), more)).when(F.endswith(source, F.lit(".php")), by_suffix(source)).otherwise(by_suffix(source, [".php"]))
 
 
 def ruby_candidates(source: Column, kind: Column, from_file: Column) -> Column:
-    near = _beside(source, from_file)
+    near = beside(source, from_file)
     full = F.when(F.endswith(near, F.lit(".rb")), near).otherwise(F.concat(near, F.lit(".rb")))
     return F.when(kind.eqNullSafe(F.lit("require_relative")), F.array(_in("path", full))).when(F.endswith(source, F.lit(".rb")), by_suffix(source)).otherwise(by_suffix(source, [".rb"]))
 
 
 def c_candidates(source: Column, kind: Column, from_file: Column) -> Column:
-    return F.when(kind.eqNullSafe(F.lit("system")), _NONE).otherwise(F.concat(F.array(_in("path", _beside(source, from_file))), by_suffix(source)))
+    return F.when(kind.eqNullSafe(F.lit("system")), nothing()).otherwise(F.concat(F.array(_in("path", beside(source, from_file))), by_suffix(source)))
 
 
 def alias_target(source: Column, aliases: dict[str, str]) -> Column:
@@ -146,14 +147,14 @@ def alias_target(source: Column, aliases: dict[str, str]) -> Column:
 def js_candidates(source: Column, from_file: Column, aliases: dict[str, str]) -> Column:
     aliased = paths.any_of(*(F.startswith(source, F.lit(a)) for a in aliases))
     target = alias_target(source, aliases)
-    near = F.when(F.startswith(target, F.lit(".")), _beside(target, from_file)).otherwise(F.regexp_replace(F.replace(target, F.lit("\\"), F.lit("/")), r"^\./", ""))
-    return F.when(F.startswith(source, F.lit(".")) | aliased, exact(near, registry.RESOLVE_EXTENSIONS, registry.INDEX_FILES)).otherwise(_NONE)
+    near = F.when(F.startswith(target, F.lit(".")), beside(target, from_file)).otherwise(F.regexp_replace(F.replace(target, F.lit("\\"), F.lit("/")), r"^\./", ""))
+    return F.when(F.startswith(source, F.lit(".")) | aliased, exact(near, registry.RESOLVE_EXTENSIONS, registry.INDEX_FILES)).otherwise(nothing())
 
 
 def candidates(aliases: dict[str, str], dart_package: str | None) -> Column:
     """Candidates of an import row (``language, source, names, kind, file_path``)."""
     lang, source, names, kind, at = (F.col(c) for c in ("language", "source", "names", "kind", "file_path"))
-    out = F.when(F.coalesce(source, F.lit("")) == "", _NONE).when(lang == "python", python_candidates(source, names, at))
+    out = F.when(F.coalesce(source, F.lit("")) == "", nothing()).when(lang == "python", python_candidates(source, names, at))
     for one in ("go", "swift"):
         out = out.when(lang == one, by_folder(source, "." + one))
     for one, ext in DOTTED.items():
