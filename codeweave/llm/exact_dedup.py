@@ -74,14 +74,15 @@ def _recipes(name: Callable[[bytes], bytes]):
 def _store(name: Callable[[bytes], bytes], with_place: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, value in zip(batch.column(0), batch.column(1)):
-                if not (parts := chunks((value.as_py() or "").encode().lower())):
+            for value in batch.column(1):
+                data = (value.as_py() or "").encode().lower()
+                if not (parts := chunks(data)):
                     continue
                 cols = [pa.array([name(c) for c in parts], pa.binary()), pa.array(parts, pa.binary())]
                 names = ["name", "chunk"]
                 if with_place:
-                    cols += [pa.array([doc_id.as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64())]
-                    names += ["doc_id", "place"]
+                    cols += [pa.array([hashlib.sha256(data).hexdigest()] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64())]
+                    names += ["text_sha256", "place"]
                 yield pa.RecordBatch.from_arrays(cols, names)
     return run
 
@@ -98,10 +99,10 @@ def recipes(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> DataFr
     none = F.array().cast("array<binary>")
     if not doubtful.take(1):
         return listed.withColumn("extra", none)
-    placed = rows.mapInArrow(_store(name, True), "name binary, chunk binary, doc_id long, place long")
-    extra = (placed.join(doubtful, "name", "left_semi").groupBy("doc_id")
+    placed = rows.mapInArrow(_store(name, True), "name binary, chunk binary, text_sha256 string, place long")
+    extra = (placed.join(doubtful, "name", "left_semi").groupBy("text_sha256")
              .agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "chunk"))), lambda x: x["chunk"]).alias("more")))
-    return listed.join(extra, "doc_id", "left").withColumn("extra", F.coalesce("more", none)).drop("more")
+    return listed.join(extra, "text_sha256", "left").withColumn("extra", F.coalesce("more", none)).drop("more")
 
 
 def exact_duplicates(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> DataFrame:

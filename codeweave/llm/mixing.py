@@ -37,7 +37,7 @@ from codeweave.llm.common import settle
 
 DOMAINS = ["toxic", "good", "poor"]
 #: Target weights of the domains; they are scaled to sum to one.
-TARGETS = {"toxic": 0.0, "good": 0.9, "poor": 0.1}
+TARGETS = {"toxic": 0.0, "good": 0.85, "poor": 0.15}
 SAMPLE, WORDS, STEM, GRID, PULL, ROUNDS, STEPS, RIDGE = 4000, 1500, 5, 200, 1e-3, 60, 500, 0.02
 _words = regex.compile(r"\p{L}+").findall
 
