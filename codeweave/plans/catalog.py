@@ -515,3 +515,165 @@ def diff_log_tail(x: Fixture) -> DataFrame:
 @query("trigger_batches", "select event_type as project, date_trunc('hour', ts) as batch, count(*)::bigint as notices, count(distinct user_id)::bigint as files from events group by 1, 2")
 def trigger_batches(x: Fixture) -> DataFrame:
     return x.t("events").groupBy(F.col("event_type").alias("project"), F.date_trunc("hour", "ts").alias("batch")).agg(F.count(F.lit(1)).alias("notices"), F.countDistinct("user_id").alias("files"))
+
+
+# Text fields (P9-P11, P13, P15, P16) ---------------------------------------------------------------------------------
+
+def _quote(v) -> str:
+    return "cast(null as varchar)" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    body = ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else _quote(v) for v in r) + ")" for r in rows)
+    return f"select * from (values {body}) t({names})"
+
+
+_FIELDS = [("(self,\n   x: int)", ": -> bool", "List<Map<K, V>>", "**Store", "a b/ç", "pkg.mod.Name"), ("  ", "->  str", "Plain", "T", "", "Name"), ("(" + "x" * 400 + ")", "void", "A<B>", "*", "ok-1.x_y", "a."), (None, None, None, None, None, None)]
+_FIELDS_OUT = [("(self, x: int)", "bool", "List", "Store", "a_b__", "Name"), (None, "str", "Plain", "T", "default", "Name"), ("(" + "x" * 299, "void", "A", "", "ok-1.x_y", ""), (None,) * 6]
+
+
+@query("text_fields", _values(_FIELDS_OUT, "params, return_type, base, receiver, database, simple"))
+def text_fields(x: Fixture) -> DataFrame:
+    c = F.col
+    return x.spark.createDataFrame(_FIELDS, "p string, r string, g string, t string, d string, n string").select(
+        ident.params_text(c("p")).alias("params"), ident.return_text(c("r")).alias("return_type"), ident.without_generics(c("g")).alias("base"), ident.without_pointer(c("t")).alias("receiver"),
+        paths.database_name(c("d")).alias("database"), paths.simple_name(c("n")).alias("simple"))
+
+
+_SCRIPTS = [("vue", "<template>\n<p/>\n</template>\n<script setup>\nlet a\n</script>\n<style>", "\n\n\n\nlet a\n\n"), ("svelte", "<script>\nlet b\n</script>\n<p/>", "\nlet b\n\n"), ("astro", "---\nlet c\n---\n<p/>\n<script>\nlet d\n</script>", "\nlet c\n\n\n\nlet d\n"),
+            ("vue", "", ""), ("astro", "<p/>", "")]
+
+
+@query("script_blank", _values([(m, len(t), o.replace("\n", "|")) for m, t, o in _SCRIPTS], "mode, n, script"))
+def script_blank(x: Fixture) -> DataFrame:
+    from codeweave.functions.source_text import script_only
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(script=[script_only(t, m).replace("\n", "|") for t, m in zip(f["content"], f["mode"])])[["mode", "n", "script"]]
+    return x.spark.createDataFrame([(m, t, len(t)) for m, t, _ in _SCRIPTS], "mode string, content string, n int").mapInPandas(run, "mode string, n int, script string")
+
+
+# Discovery and parse mode (S2, F1-F15) -------------------------------------------------------------------------------
+
+_LISTED = [("src/a.py", 10, "take"), ("node_modules/a.js", 10, "folder"), ("other/a.py", 10, "outside"), ("src/skip/a.py", 10, "excluded"), ("src/yarn.lock", 10, "lock"), ("src/a.min.js", 10, "generated"), ("src/keep.min.js", 10, "take"), ("src/.x", 10, "hidden"),
+           ("src/a.png", 10, "extension"), ("src/b.py", 3_000_000, "oversize"), ("src/c.py", 0, "empty"), ("src/d.weird", 10, "unknown"), ("src/keep.weird", 10, "take"), ("src/skip/keep.weird", 10, "excluded"), ("src/.git/a.py", 10, "folder")]
+
+
+@query("discovery_verdicts", _values([(p, v) for p, _, v in _LISTED], "path, verdict"))
+def discovery(x: Fixture) -> DataFrame:
+    from codeweave.sources import tree
+
+    rows = x.spark.createDataFrame([(p, b, i) for i, (p, b, _) in enumerate(_LISTED)], "path string, bytes long, parse_order long")
+    return tree.candidates(rows, tree.Discovery(include=["*keep*"], exclude=["src/skip/*"], folder="src")).select("path", "verdict")
+
+
+_MODES = [("python", 10, 5, "full"), ("css", 10, 5, "passthrough"), ("lua", 10, 5, "passthrough"), ("javascript", 60_000, 50, "passthrough"), ("javascript", 60_000, 0, "full"), ("java", 90_000, 40_001, "passthrough"), ("go", 2_000_100, 5000, "passthrough"), ("go", 20_000, 50, "full")]
+
+
+@query("parse_modes", _values([(i, m) for i, (_, _, _, m) in enumerate(_MODES)], "id, mode"))
+def parse_modes(x: Fixture) -> DataFrame:
+    from codeweave.sources import tree
+
+    rows = x.spark.createDataFrame([(i, lang, n, k) for i, (lang, n, k, _) in enumerate(_MODES)], "id int, language string, n int, k int")
+    text = F.concat(F.repeat(F.lit("\n"), F.col("k")), F.repeat(F.lit("x"), F.col("n") - F.col("k")))
+    return tree.parse_mode(rows.withColumn("content", text)).select("id", "mode")
+
+
+# Extraction (X1-X12, M1-M14) -----------------------------------------------------------------------------------------
+
+def _parsed(x: Fixture) -> DataFrame:
+    from codeweave.operators import extract
+    from codeweave.plans.samples import SAMPLES
+
+    rows = [(f"sample.{lang}", lang, i, text, "full") for i, (lang, (text, _)) in enumerate(SAMPLES.items())]
+    return extract.extract(x.spark.createDataFrame(rows, "path string, language string, parse_order long, content string, mode string").repartition(4))
+
+
+def _expected_elements() -> list[tuple]:
+    from codeweave.plans.samples import SAMPLES
+
+    out = []
+    for lang, (_, want) in SAMPLES.items():
+        out += [(lang, "function", n, None, str(e).lower()) for n, e in want.get("functions", [])] + [(lang, "method", n, c, None) for c, n in want.get("methods", [])]
+        out += [(lang, "class", n, ",".join(p), ",".join(i)) for n, p, i in want.get("classes", [])] + [(lang, k[:-1], n, None, None) for k in ("interfaces", "enums") for n in want.get(k, [])]
+    return out
+
+
+@query("extract_elements", _values(_expected_elements(), "language, kind, name, owner, detail"))
+def extract_elements(x: Fixture) -> DataFrame:
+    p = _parsed(x)
+    each = lambda k: p.select("language", F.explode(k).alias("e"))
+    none = F.lit(None).cast("string")
+    shape = lambda df, kind, owner, detail: df.select("language", F.lit(kind).alias("kind"), F.col("e.name").alias("name"), owner.alias("owner"), detail.alias("detail"))
+    return graph.union([
+        shape(each("functions"), "function", none, F.col("e.is_exported").cast("string")), shape(each("methods"), "method", F.col("e.class_name"), none),
+        shape(each("classes"), "class", F.array_join("e.parents", ","), F.array_join("e.implements", ",")), shape(each("interfaces"), "interface", none, none), shape(each("enums"), "enum", none, none)])
+
+
+def _expected_imports() -> list[tuple]:
+    from codeweave.plans.samples import SAMPLES
+
+    return [(lang, s, ",".join(n)) for lang, (_, want) in SAMPLES.items() for s, n in want.get("imports", [])]
+
+
+@query("extract_imports", _values(_expected_imports(), "language, source, names"))
+def extract_imports(x: Fixture) -> DataFrame:
+    return _parsed(x).select("language", F.explode("imports").alias("e")).select("language", "e.source", F.array_join("e.names", ",").alias("names"))
+
+
+# Query front-ends (Q2, Q4, T1-T7, T10) -------------------------------------------------------------------------------
+
+@query("cypher_match", _with("classes resolved", """select s.file_path as file, count(*)::bigint as n from resolved r join classes s on s.file_path = r.file_path and s.name = r.name and s.line = r.line
+    join classes t on t.file_path = r.parent_file and t.name = r.parent_name where r.confidence <> 'unresolved' and t.name like 'U%' group by 1"""))
+def cypher_match(x: Fixture) -> DataFrame:
+    from codeweave.query import cypher, sql
+
+    t = _rebuilt(x)
+    return cypher.query(sql.vertices(t), t["edges"], "MATCH (a:Class)-[:INHERITS]->(b:Class) WHERE b.name STARTS WITH $p RETURN a.file_path AS file, count(*) AS n", {"p": "U"})
+
+
+@query("gremlin_out", _with("places cfiles sfiles files", "select split_part(folder, '/', 2) as key, count(*)::bigint as value from files group by 1"))
+def gremlin_out(x: Fixture) -> DataFrame:
+    from codeweave.query import gremlin, sql
+
+    files = x.files()
+    t = {"Directory": graph.directories(files), "File": graph.file_vertices(files)}
+    edges = graph.contains_directories(t["Directory"]).unionByName(graph.contains_files(t["File"]))
+    return gremlin.query(sql.vertices(t), edges, "g.V().hasLabel('File').in('CONTAINS').groupCount().by('name')")
+
+
+@query("sql_passthrough", _with("places cfiles sfiles files", "select split_part(path, '/', 1) as domain, count(*)::bigint as n from files where split_part(path, '/', 1) in ('REGION_0', 'REGION_1', 'ASIA', 'AFRICA') group by 1"))
+def sql_passthrough(x: Fixture) -> DataFrame:
+    from codeweave.query import sql
+
+    graph.file_vertices(x.files()).createOrReplaceTempView("File")
+    return sql.query(x.spark, "SELECT domain, count(*) AS n FROM File WHERE domain IN ['REGION_0', 'REGION_1', 'ASIA', :r] GROUP BY domain", {"r": "AFRICA"})
+
+
+@query("grouping_sets", "select o_orderstatus as status, o_orderpriority as priority, count(*)::bigint as n from orders group by grouping sets ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+def grouping_sets(x: Fixture) -> DataFrame:
+    from codeweave.query import sql
+
+    x.t("orders").createOrReplaceTempView("orders")
+    return sql.query(x.spark, "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+
+
+@query("window_ranks", "select * from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc)::integer as rank from events) where rank <= 3")
+def window_ranks(x: Fixture) -> DataFrame:
+    from codeweave.query import sql
+
+    x.t("events").createOrReplaceTempView("events")
+    return sql.query(x.spark, "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 3")
+
+
+@query("manifest_changes", """with o as (select doc_id, sha1(text) as h from documents where doc_id % 7 <> 0), n as (select doc_id, sha1(case when doc_id % 5 = 0 then text || '!' else text end) as h from documents where doc_id % 11 <> 0)
+    select coalesce(o.doc_id, n.doc_id)::varchar as path, case when n.h is null then 'removed' else 'changed' end as change from o full join n on o.doc_id = n.doc_id where o.h is distinct from n.h""")
+def manifest_changes(x: Fixture) -> DataFrame:
+    from codeweave.operators.incremental import changes_by_content
+
+    d = x.t("documents").withColumn("path", F.col("doc_id").cast("string"))
+    h = lambda c: F.sha1(c.cast("binary")).alias("content_hash")
+    old = d.filter("doc_id % 7 <> 0").select("path", h(F.col("text")))
+    new = d.filter("doc_id % 11 <> 0").select("path", h(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    return changes_by_content(old, new)

@@ -2,7 +2,7 @@ import pytest
 
 from codeweave.functions.source_text import script_only
 from codeweave.operators import extract
-from tests.samples import SAMPLES
+from codeweave.plans.samples import SAMPLES
 
 
 def view(p):
