@@ -109,7 +109,8 @@ def exact_duplicates(docs: DataFrame, name: Callable[[bytes], bytes] = name_of)
     """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256, n_bytes``."""
     listed = settle(recipes(docs, name), "recipes")
     key = ["n_bytes", "recipe", "extra"]
-    groups = listed.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written before the join: an aggregation in the join's own stage would keep AQE from splitting a large group of copies
+    groups = settle(listed.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return listed.join(groups, key).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
 
