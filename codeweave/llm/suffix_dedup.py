@@ -391,7 +391,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, large: int = LARGE)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"))
     tag = F.col("pack").bitwiseAND(F.lit(0xFFFFFFFF))
     marks = rows.mapInArrow(_anchor_rows, "h long, c long, doc long, pack long")
-    often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    # written before the join: an aggregation in the join's own stage would keep AQE from splitting a frequent anchor
+    often = settle(marks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h"), "often")
     shared = settle(marks.join(often, "h"), "anchors")
     classes = settle(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pack")).alias("one"))
                      .select("h", "c", "n", "one.doc", "one.pack"), "classes")
