@@ -45,7 +45,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 FIRST_DISPUTED, STAND_IN = "՘", {"L": "a", "N": "1", "O": "!", "S": " "}
 
 #: A worker keeps the ids of two generations of so many pre-tokens of so many characters at most.
-CACHE_WORDS, CACHE_CHARS, SPLIT_CHARS, NEVER = 250_000, 48, 1 << 20, 1 << 60
+CACHE_WORDS, CACHE_CHARS, SPLIT_CHARS, PIECES_AT_ONCE, NEVER = 250_000, 48, 1 << 20, 1 << 16, 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -192,12 +192,19 @@ class Codec:
     def encode(self, text: str) -> Iterator[bytes]:
         """Parts of the id sequence of a text, in order, as little-endian unsigned 32-bit integers."""
         at = 0
-        look = self.cache.__getitem__
         for m in self.special.finditer(text) if self.special else ():
-            yield b"".join(map(look, self.pieces(text[at:m.start()])))
+            yield from self._plain(text[at:m.start()])
             yield _uint32([self.added[m.group()]])
             at = m.end()
-        yield b"".join(map(look, self.pieces(text[at:] if at else text)))
+        yield from self._plain(text[at:] if at else text)
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        pieces, look = self.pieces(text), self.cache.__getitem__
+        if isinstance(pieces, list):
+            yield b"".join(map(look, pieces))
+            return
+        while block := list(itertools.islice(pieces, PIECES_AT_ONCE)):
+            yield b"".join(map(look, block))
 
     # decoding -------------------------------------------------------------------------------------------------------
 
@@ -264,21 +271,25 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             n, ids_hex, text_hex, all_ids, all_text = [], [], [], [], []
             for value in batch.column(1):
-                parts = list(c.encode(value.as_py() or ""))
-                h, count = hashlib.sha256(), 0
-                for p in parts:
-                    h.update(p)
-                    count += len(p) // 4
-                d, kept = hashlib.sha256(), []
-                for t in c.decode(parts):
+                h, d, sizes, ids, kept = hashlib.sha256(), hashlib.sha256(), [], [], []
+
+                def told(parts: Iterator[bytes]) -> Iterator[bytes]:
+                    for p in parts:
+                        h.update(p)
+                        sizes.append(len(p) // 4)
+                        if with_output:
+                            ids.append(p)
+                        yield p
+
+                for t in c.decode(told(c.encode(value.as_py() or ""))):
                     d.update(t.encode())
                     if with_output:
                         kept.append(t)
-                n.append(count)
+                n.append(sum(sizes))
                 ids_hex.append(h.hexdigest())
                 text_hex.append(d.hexdigest())
                 if with_output:
-                    all_ids.append(array("I", b"".join(parts)).tolist())
+                    all_ids.append(array("I", b"".join(ids)).tolist())
                     all_text.append("".join(kept))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -82,7 +82,7 @@ def test_bpe_pieces(both, text):
     same(both, text)
 
 
-@pytest.mark.parametrize("text", ["a" * 40_000, " Leica" * 5000, "icaLe" * 5000, "=-" * 9000, "x" * 6801, "\n" * 20_000, "".join(random.Random(5).choices("abcdefghij", k=50_000))])
+@pytest.mark.parametrize("text", ["a" * 40_000, " Leica" * 5000, "icaLe" * 5000, "=-" * 9000, "x" * 6801, "\n" * 20_000, "".join(random.Random(5).choices("abcdefghij", k=50_000)), "Some words é " * 90_000])
 def test_bpe_stream_of_long_pieces(both, text):
     same(both, text)
 
