@@ -15,6 +15,9 @@ from codeweave.sources import repository, tree
 from codeweave.sources.store import GraphStore, settle
 
 
+FILES_A_TASK = 200
+
+
 def _paths(spark: SparkSession, values: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "path string")
 
@@ -98,7 +101,9 @@ def _parse(spark, store, repo, root, project, incremental, changed_files, remove
     files = settle(files, "files")
     say("parse")
     wanted = files.join(F.broadcast(_paths(spark, changed)), "path", "left_semi") if incremental else files  # a commit's list, held by the driver already
-    parsed = settle(extract.extract(tree.parse_mode(tree.read_files(wanted, root))), "parsed")
+    # the listing is small and would sit in few partitions; parsing is the work, so it is dealt out by path
+    tasks = max(spark.sparkContext.defaultParallelism, wanted.count() // FILES_A_TASK)
+    parsed = settle(extract.extract(tree.parse_mode(tree.read_files(wanted.repartition(tasks, "path"), root))), "parsed")
     ok = parsed.filter("mode <> 'failed'")
     failed = [r["path"] for r in parsed.filter("mode = 'failed'").select("path").collect()] if incremental else []
     symbols = store.class_symbols(project, ok.select("path")) if incremental else None
