@@ -68,6 +68,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_dedup": """
+        with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+        w as (select r, i, md5_number(substr(x, 2 * i + 1, 400)) as h from (select r, x, unnest(generate_series(0::bigint, n::bigint - 200)) as i from d where n >= 200)),
+        k as (select h from w group by h having count(*) > 1),
+        s as (select r, i, coalesce(i > lag(i) over (partition by r order by i) + 200, true) as fresh from w join k using (h)),
+        g as (select r, i, sum(fresh::integer) over (partition by r order by i) as run from s),
+        runs as (select r, run, min(i) as a, max(i) + 200 as b from g group by r, run),
+        pieces as (select runs.r, run, a, b, substr(x, 2 * coalesce(lag(b) over (partition by runs.r order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by runs.r order by a), 0))) as kept from runs join d on d.r = runs.r),
+        t as (select r, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans, max(b) as last, string_agg(kept, '' order by a) as kept from pieces group by r)
+        select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from d left join t using (r)""",
+    "op5_chat": f"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t as (select *, ceil(length(text) / 4.0) + 4 as tokens, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from c),
+        s as (select *, place = 1 and role = 'system' and tokens <= {chat.BUDGET // 4} as opening from t),
+        h as (select *, floor(({chat.BUDGET - chat.BUDGET // 4} - max(case when opening then tokens else 0 end) over (partition by conv_id)) / 2) as half, case when opening then 0 else tokens end as own from s),
+        p as (select *, floor(coalesce(sum(own) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0) / half) as cell, own > half as large,
+              sum((own > half)::integer) over (partition by conv_id order by place) as larges from h),
+        f as (select *, place = 1 or cell is distinct from lag(cell) over w or large is distinct from lag(large) over w or larges is distinct from lag(larges) over w as starts
+              from p window w as (partition by conv_id order by place)),
+        w as (select *, sum(starts::integer) over (partition by conv_id order by place) as win, coalesce(lead(starts, 1) over v, false) as next1, coalesce(lead(starts, 2) over v, false) as next2,
+              4 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]|]', '', 'g')) + 3 + length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'g')) + 4 as chars
+              from f window v as (partition by conv_id order by place)),
+        o as (select conv_id, max(chars) as opening_chars from w where opening group by conv_id),
+        x as (select w.*, chars * (1 + case when not opening and tokens <= {chat.BUDGET // (4 * chat.HISTORY_TURNS)} then next1::integer + next2::integer else 0 end)
+              + case when starts and win > 1 then coalesce(opening_chars, 0) else 0 end as all_chars from w left join o using (conv_id))
+        select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+          coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+          sum(all_chars)::bigint as formatted_chars, max(win)::bigint as n_windows
+        from x group by conv_id""",
     "op8_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x
                    from documents),
