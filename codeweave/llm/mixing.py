@@ -6,7 +6,7 @@ by projected-gradient least squares so that these totals match the target weight
 
 Posteriors are given in steps of 1 / GRID. By symmetry documents with one posterior vector have one rate, so after one
 distributed aggregation of tokens by posterior the gradient runs over a table whose size is bounded by the grid and not by the
-corpus; every iteration is one distributed sum over it, and the state that goes round is one number a domain. The rates
+corpus; every iteration is one distributed sum over it (until no share moves by SETTLED of the total), and the state that goes round is one number a domain. The rates
 follow from the list of those residuals, so any task can be repeated.
 
 The classifier is a softmax regression over the presence of words and word stems (the WORDS of most information) and text-shape figures, fitted
@@ -38,7 +38,7 @@ from codeweave.llm.common import settle
 DOMAINS = ["toxic", "good", "poor"]
 #: Target weights of the domains; they are scaled to sum to one.
 TARGETS = {"toxic": 0.0, "good": 0.85, "poor": 0.15}
-SAMPLE, WORDS, STEM, GRID, PULL, ROUNDS, STEPS, RIDGE = 4000, 1500, 5, 200, 1e-3, 60, 500, 0.02
+SAMPLE, WORDS, STEM, GRID, PULL, ROUNDS, STEPS, RIDGE, SETTLED = 4000, 1500, 5, 200, 1e-3, 60, 500, 0.02, 2e-5
 _words = regex.compile(r"\p{L}+").findall
 
 
@@ -94,26 +94,27 @@ def fit(labels: list[str], words: list[set[str]], shapes: np.ndarray) -> Model |
         names = [names[i] for i in np.argsort(-gain, kind="stable")[:WORDS]]
     vocabulary = {w: i for i, w in enumerate(names)}
     mean, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-6
-    x = np.zeros((n, 1 + shapes.shape[1] + len(names)))
+    x = np.zeros((n, 1 + shapes.shape[1] + len(names)), np.float32)
+    onehot = onehot.astype(np.float32)
     x[:, 0] = 1
     x[:, 1:1 + shapes.shape[1]] = np.clip((shapes - mean) / scale, -5, 5)
     for i, ws in enumerate(words):
         x[i, [1 + shapes.shape[1] + vocabulary[w] for w in ws if w in vocabulary]] = 1
-    w = z = np.zeros((x.shape[1], len(domains)))
-    ridge = np.full((x.shape[1], 1), RIDGE / n)
+    w = z = np.zeros((x.shape[1], len(domains)), np.float32)
+    ridge = np.full((x.shape[1], 1), RIDGE / n, np.float32)
     ridge[0] = 0
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], np.float32)
     for _ in range(30):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
-    step = 1 / (0.5 * np.linalg.norm(x @ v) ** 2 / n + ridge.max())
+    step = np.float32(1 / (0.5 * np.linalg.norm(x @ v) ** 2 / n + ridge.max()))
     for t in range(STEPS):
         s = x @ z
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         new = z - step * (x.T @ (p - onehot) / n + ridge * z)
-        w, z = new, new + t / (t + 3) * (new - w)
-    return Model(domains, vocabulary, mean, scale, w)
+        w, z = new, new + np.float32(t / (t + 3)) * (new - w)
+    return Model(domains, vocabulary, mean, scale, w.astype(np.float64))
 
 
 def posterior(model: Model, text: str) -> np.ndarray:
@@ -182,7 +183,7 @@ def rates_of(p: np.ndarray, residuals: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Residuals (expected less target, as shares of the total) of each projected-gradient step.
+    """Residuals (expected less target, relative to the domain's size) of each projected-gradient step.
 
     ``cells``: ``p array<double>, n_tokens double``, a row for each posterior vector.
     """
@@ -211,9 +212,11 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float], r
         return residuals
     want = want / want.sum()
     total = max(have[i] / want[i] for i in range(k) if want[i] > 0)
+    # errors count relative to a domain's size, so that small domains settle as fast as large ones; the largest curvature is then 1
+    share = np.where(have > 0, have / total, 1.0)
     for _ in range(rounds):
-        e = np.round((have - total * want) / total, 9)
-        if residuals and np.abs(e - residuals[-1]).max() < 1e-7:
+        e = np.round((have - total * want) / total / share, 9)
+        if residuals and (np.abs(e - residuals[-1]) * share).max() < SETTLED:
             break
         residuals.append(e)
         have = totals()

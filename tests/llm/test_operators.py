@@ -169,8 +169,8 @@ def test_mixing_rates_match_targets(spark):
     total = max(have / want)
     x = np.ones(60)
     for _ in range(20_000):
-        x = np.maximum(0, x - (p @ (((x * n) @ p - total * want) / total) + mixing.PULL * (x - 1)) / (1 + mixing.PULL))
-    cost = lambda r: (((r * n) @ p - total * want) ** 2).sum() / total ** 2 / 2 + mixing.PULL * (n * (r - 1) ** 2).sum() / total / 2
+        x = np.maximum(0, x - (p @ (((x * n) @ p - total * want) / have) + mixing.PULL * (x - 1)) / (1 + mixing.PULL))
+    cost = lambda r: (((r * n) @ p - total * want) ** 2 / have).sum() / total / 2 + mixing.PULL * (n * (r - 1) ** 2).sum() / total / 2
     assert cost(r) <= cost(x) + 1e-5
 
 
