@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from codeweave.functions import registry
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it (lambdas do not share subexpressions)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def basename(p: Column) -> Column:
     return F.element_at(F.split(p, "/"), -1)
 
@@ -29,15 +34,15 @@ def extension(p: Column) -> Column:
 
 def ancestors(p: Column) -> Column:
     """All folders above a file, nearest to the root first; empty segments are left out."""
-    parts = F.filter(F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1), lambda x: x != "")
+    folders = F.filter(F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1), lambda x: x != "")
     none = F.array().cast("array<string>")
-    return F.when(F.size(parts) == 0, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    return let(folders, lambda d: F.when(F.size(d) == 0, none).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1))), lambda i: F.array_join(F.slice(d, F.lit(1), i), "/"))))
 
 
 def suffixes(p: Column) -> Column:
     """All suffixes of whole segments, the longest first."""
-    parts = F.split(p, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    return let(F.split(p, "/"), lambda d: F.transform(F.sequence(F.lit(1), F.size(d)), lambda i: F.array_join(F.slice(d, i, F.size(d)), "/")))
 
 
 def domain(p: Column) -> Column:

@@ -62,8 +62,8 @@ def nothing() -> Column:
 
 def exact(base: Column, exts: list[str], index_files: list[str]) -> Column:
     """The path itself, then with each extension, then each index file in it."""
-    keys = [base, *(F.concat(base, F.lit(e)) for e in exts), *(F.concat(base, F.lit("/" + i)) for i in index_files)]
-    return F.array(*(_in("path", k) for k in keys))
+    tails = ["", *exts, *("/" + i for i in index_files)]
+    return paths.let(base, lambda b: F.transform(F.array(*map(F.lit, tails)), lambda tail: _in("path", F.concat(b, tail))))
 
 
 def by_suffix(target: Column, exts: list[str] | None = None) -> Column:
