@@ -145,7 +145,11 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
                                                  ["cell", "codes", "entry", "v", "ids"])
 
     listed = settle(entries.mapInArrow(index_rows, "cell int, codes binary, entry long, v array<double>, ids array<long>"), "inverted")
-    blocks = listed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # one small row a cell
+    sizes = listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a cell, and cells grow as a square root
+    held = np.zeros(cells, np.int64)
+    held[sizes["cell"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
+    enough = min(int(held.sum()), 10 * (k + 1))
+    blocks = spark.createDataFrame([(int(c), int(-(-held[c] // BLOCK))) for c in np.flatnonzero(held)], "cell int, blocks int")
     dealt = (listed.join(F.broadcast(blocks), "cell")  # bounded by the number of cells
              .withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks"))
     asked = settle(rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v"), "asked")
@@ -160,9 +164,11 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(-(unit(_matrix(batch.column(1), dim)) @ shipped.value.coarse.T), axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(batch.num_rows), probes)
-            yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
+            near = np.argsort(-(unit(_matrix(batch.column(1), dim)) @ shipped.value.coarse.T), axis=1, kind="stable")
+            # at least ``probes`` cells, and more where those hold too few entries to answer from
+            before = np.cumsum(held[near], axis=1) - held[near]
+            at, place = np.nonzero((np.arange(cells) < probes)[None, :] | (before < enough))
+            yield pa.RecordBatch.from_arrays([pa.array(near[at, place].astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
                                              ["cell", "query", "qv"])
 
     probed = (kinds_asked.mapInArrow(probe_rows, "cell int, query long, qv array<double>").join(F.broadcast(blocks), "cell")

@@ -145,6 +145,9 @@ def test_ann_ties_copies_and_odd_vectors(spark):
     assert list(got[got.query_id == 100].sort_values("rank").vec_id) == [0, 1, 2, 3, 4] and set(got.query_id) == {0, 3, 100}
     assert ann.nearest(t.limit(0), lambda c: c >= 0).count() == 0
     assert ann.nearest(t.filter("vec_id = 100"), lambda c: c >= 0).count() == 0
+    far = spark.createDataFrame([(i, [1.0, 0.001 * i]) for i in range(1, 40)] + [(50, [-1.0, 0.0]), (100, [0.0, -1.0])], "vec_id long, embedding array<float>")
+    lone = ann.nearest(far, lambda c: c % 50 == 0).toPandas()
+    assert list(lone[lone.query_id == 50].sort_values("rank").vec_id) == [100, 39, 38, 37, 36] and len(lone) == 10
     two = ann.nearest(t.filter("vec_id in (100, 1)"), lambda c: c >= 0).toPandas()
     assert sorted(zip(two.query_id, two.vec_id)) == [(1, 100), (100, 1)]
 
