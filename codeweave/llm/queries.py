@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweave.llm import ann, bpe, chat, exact_dedup, lang_id, mixing, secrets, simhash, suffix_dedup
+from codeweave.llm import ann, bpe, chat, exact_dedup, lang_id, mixing, secrets, simhash, suffix_dedup, warc
 from codeweave.llm.common import read_table
 
 #: Where the vocabulary files lie; a parameter, as they are never part of this repository.
@@ -43,6 +43,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_lang_id": op10_lang_id,
