@@ -9,7 +9,6 @@ import re
 import struct
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
