@@ -3,8 +3,9 @@
 Method. Vectors are scaled to length one. Coarse centroids (spherical k-means) part the vectors into cells; a
 vector's residual to its centroid is cut into subvectors, each replaced by the nearest of 256 (or fewer) codewords. A
 query looks into its nearest cells; an asymmetric table of inner products between its subvectors and all codewords
-gives every entry's approximate cosine by lookups; the best of them are reranked by the exact cosine of the original
-vectors in double precision.
+gives every entry's approximate cosine by lookups. Every entry keeps the length of what its codes leave out, which bounds how far its
+exact cosine can lie from the approximate one; all entries whose upper bound reaches the best exact cosines found so far are reranked
+by the exact cosine of the original vectors in double precision, so the answer over the probed cells is exact, ties included.
 
 Training uses a bounded sample: at most SAMPLE vectors in expectation, chosen by a hash of the vector. Every row is indexed. The number of
 cells follows the square root of the number of rows, so a cell stays small as data grow. How many cells a query looks
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from codeweave.llm.common import settle
 
-SAMPLE, PARTS, CODEWORDS, ROUNDS, SHORTLIST, TARGET, TRIALS = 20_000, 16, 256, 12, 200, 0.97, 256
+SAMPLE, PARTS, CODEWORDS, ROUNDS, FIRST, TARGET, TRIALS = 20_000, 16, 256, 12, 200, 0.97, 256
+#: Room for rounding in comparisons of a bound with an exact cosine.
+ROUNDING = 1e-9
 #: Index entries and queries that meet in one task, at most on average.
 BLOCK, QUERY_BLOCK = 4096, 32_768
 
@@ -88,6 +91,28 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.stack([assign(s, w, False) for s, w in zip(rest, index.words)], axis=1).astype(np.uint8)
 
 
+def left_out(index: Index, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lengths of what cells and codes leave out of vectors of length one."""
+    said = index.coarse[cell] + np.concatenate([w[codes[:, p]] for p, w in enumerate(index.words)], axis=1)
+    return np.linalg.norm(x - said, axis=1)
+
+
+def best_of(about: np.ndarray, slack: np.ndarray, exact, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the k best entries, with all that tie with the last. ``exact`` gives the exact scores of places.
+
+    The FIRST entries by approximate score only set the mark; whatever its bound lets reach the mark is scored exactly too.
+    """
+    if len(about) > max(FIRST, k):
+        first = np.argpartition(-about, max(FIRST, k))[:max(FIRST, k)]
+        mark = np.partition(exact(first), -k)[-k]
+        reach = np.flatnonzero(about + slack >= mark - ROUNDING)
+    else:
+        reach = np.arange(len(about))
+    score = exact(reach)
+    top = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+    return reach[score >= top], score[score >= top]
+
+
 def probes_for(index: Index, x: np.ndarray, k: int, target: float = TARGET) -> int:
     """Cells to look into so that they hold ``target`` of the true k nearest among the sample ``x``."""
     x = unit(x.astype(np.float64))
@@ -140,11 +165,13 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, codes = encode(shipped.value, unit(_matrix(batch.column(1), dim)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), *batch.columns],
-                                                 ["cell", "codes", "entry", "v", "ids"])
+                x = unit(_matrix(batch.column(1), dim))
+                cell, codes = encode(shipped.value, x)
+                slack = left_out(shipped.value, x, cell, codes)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(slack), *batch.columns],
+                                                 ["cell", "codes", "slack", "entry", "v", "ids"])
 
-    listed = settle(entries.mapInArrow(index_rows, "cell int, codes binary, entry long, v array<double>, ids array<long>"), "inverted")
+    listed = settle(entries.mapInArrow(index_rows, "cell int, codes binary, slack double, entry long, v array<double>, ids array<long>"), "inverted")
     sizes = listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a cell, and cells grow as a square root
     held = np.zeros(cells, np.int64)
     held[sizes["cell"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
@@ -182,7 +209,7 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         x = np.stack(left["v"].to_numpy())
         norms = np.sqrt((x * x).sum(axis=1))
-        ids = left["ids"].to_numpy()
+        ids, slack = left["ids"].to_numpy(), left["slack"].to_numpy()
         coarse = ix.coarse[int(left["cell"].iloc[0])]
         width = dim // len(ix.words)
         queries, best = [], []
@@ -191,11 +218,9 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
             own = q / np.sqrt((q * q).sum())
             table = np.einsum("pkw,pw->pk", ix.words, own.reshape(-1, width))
             about = own @ coarse + table[np.arange(len(table)), codes].sum(axis=1)
-            short = np.argpartition(-about, SHORTLIST)[:SHORTLIST] if len(about) > SHORTLIST else np.arange(len(about))
-            exact = (x[short] * q).sum(axis=1) / (norms[short] * np.sqrt((q * q).sum()))
-            keep = np.argsort(-exact, kind="stable")
-            top = exact[keep[:k + 1][-1]]
-            found = [(float(-s), int(i)) for s, c in zip(exact[keep], short[keep]) if s >= top for i in ids[c]]
+            length = np.sqrt((q * q).sum())
+            places, scores = best_of(about, slack, lambda at: (x[at] * q).sum(axis=1) / (norms[at] * length), k + 1)
+            found = [(float(-s), int(i)) for s, c in zip(scores, places) for i in ids[c]]
             queries.append(name)
             best.append([{"minus": a, "vec_id": b} for a, b in sorted(found)[:k + 1]])
         return pd.DataFrame({"query": queries, "best": best})

@@ -151,6 +151,19 @@ def test_ann_ties_copies_and_odd_vectors(spark):
     assert sorted(zip(two.query_id, two.vec_id)) == [(1, 100), (100, 1)]
 
 
+def test_ann_hot_cell(spark, monkeypatch):
+    """Many near-equal vectors in one cell: codewords cannot tell them apart, the exact rerank must."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 16))
+    x[:2000] = x[0] + 0.001 * rng.normal(size=(2000, 16))
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda sample, cells: fit(sample, 1))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(t, lambda c: c % 100 == 0).toPandas()
+    want = brute_nearest(np.arange(len(x)), x, lambda i: i % 100 == 0)
+    assert {q: list(g.sort_values("rank").vec_id) for q, g in got.groupby("query_id")} == {q: [i for _, i in w] for q, w in want.items()}
+
+
 # 3 mixing ------------------------------------------------------------------------------------------------------------
 
 def test_mixing_rates_match_targets(spark):
