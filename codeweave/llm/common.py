@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,30 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def text_name(text: str = "text") -> Column:
+    """SHA-256 of a text with A-Z lower-cased; null counts as empty."""
+    return F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER), 256)
+
+
+def one_row_each(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """One row of ``docs``, with its own columns, for each distinct ``doc_id, sha, n`` of ``winners``; ``n`` rows have that id and text.
+
+    Only rows that are repeated are moved for a choice among them; all others pass a semi-join.
+    """
+    keys = winners.select(F.col("doc_id").alias("__w_id"), F.col("sha").alias("__w_sha"), F.col("n").alias("__w_n"))
+    at = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["__w_id"]) & (text_name() == k["__w_sha"])
+    single, many = keys.filter("__w_n = 1"), keys.filter("__w_n > 1")
+    out = docs.join(single, at(single), "left_semi")
+    if not many.take(1):
+        return out
+    first = Window.partitionBy("__w_id", "__w_sha").orderBy(F.to_json(F.struct(*(docs[c] for c in docs.columns))))
+    chosen = docs.join(many, at(many)).withColumn("__w_place", F.row_number().over(first)).filter("__w_place = 1").select(*docs.columns)
+    return out.unionByName(chosen)
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

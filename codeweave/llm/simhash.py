@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import components, settle
+from codeweave.llm.common import components, one_row_each, settle, text_name
 
 SEED, WORDS, RADIUS, PIVOTS, BLOCK_ROWS, LARGE = 42, 3, 2, 24, 1 << 16, 2048
 BLOCKS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -171,15 +171,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 # Similarity of shingle sets ------------------------------------------------------------------------------------------
 
-WIDE_WORDS, WIDE_PIVOTS, SLACK, MISS, CROWD = 8, 8, 0.03, 0.1, 64
+WIDE_WORDS, WIDE_PIVOTS, SLACK, MISS, CROWD, SMALL = 8, 8, 0.2, 1e-4, 64, 20
 
 
-def wide_fingerprint(text: str, words: int) -> tuple[np.ndarray, int]:
-    """(WIDE_WORDS x 64 bits of majority over the set of word shingles, size of the set)."""
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """XXH64 of the distinct word shingles, in order."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     hash_of = partial(xxhash.xxh64_intdigest, seed=SEED)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
-    h = np.unique(np.fromiter(map(hash_of, shingles), np.uint64))
+    return np.unique(np.fromiter(map(hash_of, shingles), np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDE_WORDS x 64 bits of majority over a set of shingles."""
     salts = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
     for at in range(0, len(h), 255):  # sums of 255 bits fit a byte
@@ -188,7 +192,7 @@ def wide_fingerprint(text: str, words: int) -> tuple[np.ndarray, int]:
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         x ^= x >> np.uint64(33)
         ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h)).view(np.uint64), len(h)
+    return np.packbits(2 * ones > len(h)).view(np.uint64)
 
 
 def farthest(similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,7 +203,7 @@ def farthest(similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bands(n: int, similarity: float) -> np.ndarray:
     """Bit places of each band, so that a band has few chance meetings among ``n`` entries and a pair is missed with MISS at most."""
-    width = int(min(30, max(8, np.ceil(np.log2(max(2, n))) - 2)))
+    width = int(min(30, max(8, np.ceil(np.log2(max(2, n))) - 4)))
     agree = 1 - farthest(similarity, np.float64(1), np.float64(1)) / (64 * WIDE_WORDS)
     count = int(np.ceil(np.log(MISS) / np.log1p(-(agree ** width))))
     rng = np.random.default_rng(SEED)
@@ -207,7 +211,7 @@ def bands(n: int, similarity: float) -> np.ndarray:
 
 
 def similar_links(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, similarity: float, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked entries that share a key, as forests. Keys are in order.
+    """Places of candidates that share a key, as forests. Keys are in order.
 
     A pair whose distances to the reference fingerprints differ by more than the link allows is discarded, the others are
     verified on all bits. In a crowded key members are reached from each other: one that has been reached is not compared with
@@ -218,7 +222,8 @@ def similar_links(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, similari
     size = sizes.astype(np.float64)
 
     def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        most = farthest(similarity, size[i], size[j])
+        # bits of small sets agree less than expected
+        most = farthest(similarity, size[i], size[j]) + np.where(np.minimum(size[i], size[j]) <= SMALL, 32, 0)
         ok = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1) <= most)
         return ok[np.bitwise_count(fps[i[ok]] ^ fps[j[ok]]).sum(axis=1) <= most[ok]]
 
@@ -252,24 +257,70 @@ def similar_links(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, similari
     return np.concatenate(a), np.concatenate(b)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, component_id``: documents joined by links of estimated Jaccard similarity of their word-shingle sets.
+def true_links(cluster: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sets of one cluster whose exact Jaccard similarity is ``similarity`` or more, as forests. Clusters are in order.
 
-    Fingerprints of 512 bits over the set of ``words``-word shingles estimate the angle between two sets, and with the sizes of both their
-    Jaccard similarity, with a standard deviation of about 0.03; pairs from ``similarity`` less SLACK on are linked. Entries meet in
-    bands of bits, whose width grows with the logarithm of their number and whose number is set so that a pair at the
-    threshold meets with 90 % and one at 0.9 with over 99 %. At this radius the pivot table discards little, as random
-    fingerprints lie at nearly equal distances from any reference; the bands do that part.
+    A set that has been reached is not compared with others that have been, which loses no link between components.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    bounds = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        m = hi - lo
+        if m < 2:
+            continue
+        size = np.array([len(s) for s in sets[lo:hi]])
+        kinds, flat = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
+        ends = np.r_[0, np.cumsum(size)]
+        mark, rest = np.zeros(len(kinds), bool), np.arange(m)
+        while len(rest):
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                at = todo.pop()
+                own = flat[ends[at]:ends[at + 1]]
+                mark[own] = True
+                near = rest[np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at]) - 1e-9]
+                both = np.array([np.count_nonzero(mark[flat[ends[r]:ends[r + 1]]]) for r in near], np.int64)
+                mark[own] = False
+                hit = near[both + 1e-9 >= similarity * (size[near] + size[at] - both)] if len(near) else near
+                a.append(np.full(len(hit), lo + at))
+                b.append(lo + hit)
+                todo += hit.tolist()
+                rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str, report) -> Iterator[pa.RecordBatch]:
+    """Batches come ordered by key; a key that may go on in the next batch waits for it."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        keys = held.column(key).to_numpy()
+        end = int(np.searchsorted(keys, keys[-1]))
+        if end:
+            yield from report(held.slice(0, end))
+            held = held.slice(end)
+    if held is not None:
+        yield from report(held)
+
+
+def _named(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``doc_id, sha, root``: one row a document with the name of its component of similar sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("sha"), F.col("text").cast("string").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(v.as_py() or "", words) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n"])
-
-    marked = settle(rows.mapInArrow(mark, "doc_id long, fp binary, n long"), "wide")
-    entries = settle(marked.groupBy("fp", "n").agg(F.min("doc_id").alias("least")), "entries")
+            sets = [shingle_set(v.as_py() or "", words) for v in batch.column(2)]
+            few = [[int(x) for x in s[:len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view(np.int64)] if len(s) <= SMALL else [] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], pa.uint64()).view(pa.int64()), pa.array(few, pa.list_(pa.int64()))],
+                ["doc_id", "sha", "fp", "n", "node", "few"])
+
+    marked = settle(rows.mapInArrow(mark, "doc_id long, sha string, fp binary, n long, node long, few array<long>"), "wide")
+    entries = settle(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("few").alias("few")), "entries")
     places = bands(entries.count(), similarity)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,43 +328,63 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+            rest = [batch.column(i) for i in range(3)]
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
             for k, at in enumerate(places):
                 key = (np.int64(k) << np.int64(32)) | (bits[:, at].astype(np.int64) @ weights)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "fp", "n", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], ["key", "node", "fp", "n"])
+            # small sets of this similarity share one of the first hashes in any case
+            few = batch.column(3)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in few.to_pylist()]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([few.flatten(), *(c.take(at) for c in rest)], ["key", "node", "fp", "n"])
+
+    refs = pivots(WIDE_PIVOTS * WIDE_WORDS).reshape(WIDE_PIVOTS, WIDE_WORDS)
+
+    def loose(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+        node = t.column("node").to_numpy()
+        a, b = similar_links(t.column("key").to_numpy(), fps, t.column("n").to_numpy(), similarity - SLACK, refs)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    def exact(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        node = t.column("node").to_numpy()
+        a, b = true_links(t.column("root").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()], similarity)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    met = entries.select("node", "fp", "n", "few").mapInArrow(meet, "key long, node long, fp binary, n long").repartition("key").sortWithinPartitions("key")
+    clusters = components(met.mapInArrow(lambda it: _by_key(it, "key", loose), "a long, b long"))
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingle_set(v.as_py() or "", words).tobytes() for v in batch.column(2)], pa.binary())], ["node", "root", "set"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots(WIDE_PIVOTS * WIDE_WORDS).reshape(WIDE_PIVOTS, WIDE_WORDS)
-        held = None
+    # one document stands for each set of a cluster; its set is made again from its text
+    pick = (marked.join(clusters, "node").groupBy("node", "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("w"))
+            .select("node", "root", F.col("w.doc_id").alias("p_id"), F.col("w.sha").alias("p_sha")))
+    texts = rows.join(pick, rows["doc_id"].eqNullSafe(pick["p_id"]) & (rows["sha"] == pick["p_sha"])).select("node", "root", "text")
+    sets = texts.mapInArrow(with_set, "node long, root long, set binary").repartition("root").sortWithinPartitions("root")
+    roots = components(sets.mapInArrow(lambda it: _by_key(it, "root", exact), "a long, b long"))
+    return settle(marked.join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root")), "named")
 
-        def report(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-            node = t.column("least").to_numpy()
-            a, b = similar_links(t.column("key").to_numpy(), fps, t.column("n").to_numpy(), similarity - SLACK, refs)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = held.column("key").to_numpy()
-            end = int(np.searchsorted(keys, keys[-1]))
-            if end:
-                yield from report(held.slice(0, end))
-                held = held.slice(end)
-        if held is not None:
-            yield from report(held)
-
-    known = entries.filter("least is not null")
-    met = known.mapInArrow(meet, "key long, fp binary, n long, least long").repartition("key").sortWithinPartitions("key")
-    roots = components(met.mapInArrow(link, "a long, b long"))
-    named = settle(entries.join(roots, entries["least"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "least").alias("component_id")), "named")
-    return marked.join(named, ["fp", "n"]).select("doc_id", "component_id")
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id``: documents joined by links of Jaccard similarity ``similarity`` or more of their sets of word shingles.
+
+    Fingerprints of 512 bits over the sets only find candidates: entries meet in bands of bits, of which there are so many that a pair at the
+    threshold is expected to be missed with MISS; sets of up to SMALL shingles also meet by the first of their hashes. Pairs from
+    ``similarity`` less SLACK on by the bits' estimate form clusters, and in a cluster the sets themselves are compared, so no pair
+    below the threshold is linked. A cluster's sets are held by one task.
+    """
+    named = _named(docs, words, similarity)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents to which no similar one has a smaller id, with their own columns."""
-    first = similar_groups(docs, words, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__id"]), "left_semi")
+    """One document of every group of similar ones, with its own columns: the one with the least id, of several the one with the least text hash."""
+    of = _named(docs, words, similarity).groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "n")).alias("w"))
+    return one_row_each(docs, settle(first.select("w.doc_id", "w.sha", "w.n"), "first"))

@@ -377,6 +377,21 @@ def test_similar_groups(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted({want.index(g) for g in want})
 
 
+def test_similar_groups_on_both_sides_of_the_threshold(spark):
+    """Pairs of 5 to 450 shingles at 0.8 are all linked, pairs just below are not."""
+    texts, pairs = [], []
+    for g in range(150):
+        n = [5, 9, 45, 450][g % 4]
+        inside = g % 2 == 0 or g % 3 == 0
+        share = -(-4 * n // 5) if inside else -(-4 * n // 5) - 1  # of n shingles, the other text is a prefix of these
+        w = [f"w{g}x{i}" for i in range(n + 4)]
+        pairs.append((len(texts), inside))
+        texts += [" ".join(w), " ".join(w[:share + 4])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert [(i, got[i + 1] == i) for i, _ in pairs] == pairs
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (5, 4)]
