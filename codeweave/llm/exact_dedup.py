@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import settle
+from codeweave.llm.common import one_row_each, settle
 
 LEAST, MOST, ZERO_BITS = 2048, 1 << 16, 12
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -115,11 +115,7 @@ def exact_duplicates(docs: DataFrame, name: Callable[[bytes], bytes] = name_of)
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies: of equal texts the row with the largest id stays, with its own columns."""
-    marked = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER), 256)
-    return docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked["__id"]) & (own == marked["__sha"]), "left_semi")
+    """The documents without exact copies: of equal texts one row with the largest id stays, with its own columns."""
+    kept = exact_duplicates(docs).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"))
+    return one_row_each(docs, settle(kept, "kept"))

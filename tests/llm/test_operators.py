@@ -392,6 +392,18 @@ def test_similar_groups_on_both_sides_of_the_threshold(spark):
     assert [(i, got[i + 1] == i) for i, _ in pairs] == pairs
 
 
+def test_keep_one_keeps_one_row(spark):
+    """Repeated winners, null ids, and one id with several texts."""
+    words = " ".join(f"v{i}" for i in range(60))
+    rows = [(9, "same"), (9, "same"), (4, "same"), (None, "no id"), (None, "no id"), (7, words), (7, words + " more"), (7, words), (8, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    exact = sorted(map(tuple, exact_dedup.keep_one(df).collect()), key=key)
+    assert exact == sorted([(9, "same"), (None, "no id"), (7, words), (7, words + " more"), (8, "other")], key=key)
+    near = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert len(near) == 4 and [i for i, _ in near].count(7) == 1 and (4, "same") in near and (None, "no id") in near
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (5, 4)]
