@@ -35,6 +35,41 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As :func:`settle`, in as many buckets of ``key`` as the session has shuffle partitions.
+
+    A later join or aggregation by ``key`` then moves only its other side. The table's name leaves the catalog at once, its files stay.
+    """
+    spark = df.sparkSession
+    name = f"codeweave_{label}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+     .option("path", f"{scratch_dir(spark)}/codeweave/{name}").saveAsTable(name))
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return out
+
+
+#: A key that holds one in HEAVY rows is a heavy one; there are at most HEAVY of them, whatever the size of the data.
+HEAVY = 4096
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row a key and in ``weight`` at least a share of the key's rows in ``big``.
+
+    Keys of 1 / HEAVY of all weight or more are broadcast, at most HEAVY rows by that very rule, so their rows stay where they are; the
+    others are joined by a shuffle, in which no key is large. ``small`` should be settled, as it is read three times.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    is_heavy = F.col(weight) * HEAVY >= F.lit(total)
+    heavy, light = small.filter(is_heavy), small.filter(~is_heavy)
+    if total and total <= HEAVY:  # a table of a few rows: every key counts as heavy
+        return big.join(F.broadcast(small), on)
+    out = big.join(light, on)
+    if heavy.take(1):
+        out = out.unionByName(big.join(F.broadcast(heavy), on))
+    return out
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

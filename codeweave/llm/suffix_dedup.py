@@ -7,22 +7,29 @@ anchor: the place of the least hash among its GRAM-byte strings (the leftmost on
 strings have equal anchors at equal offsets, and only suffixes at anchors, about one in 85 bytes, need to be looked at.
 An anchor's context (at most REACH bytes before it and LENGTH from it on) holds all the strings it stands for.
 
-1. Anchors are matched by the hash of their GRAM bytes; one that occurs once is done with.
-2. Anchors with equal contexts form a class; a class of two or more is covered whole, and its bytes never move.
-3. Classes of one member in a group with other classes (the edges of repeats) are compared: their contexts are fetched, and
+1. Rows are collapsed to distinct texts, named by a 128-bit digest, so copies cost nothing further on and ids are never used as keys. A text of
+   two or more rows loses all of itself if it has LENGTH bytes. Texts move once, compressed, into a bucketed table that later steps join without
+   moving them again.
+2. Anchors are matched by the hash of their GRAM bytes; one that occurs once is done with. Equal contexts within one text, such as those
+   of a run of blanks, are one anchor of weight two, and their bytes are covered at once.
+3. Anchors with equal contexts form a class; a class of weight two or more is covered whole, and its bytes never move.
+4. Classes of one member in a group with other classes (the edges of repeats) are compared: their contexts are fetched, and
    the group's suffixes are put in order from the anchor on, and once more from the anchor backwards, by deep-shallow
    sorting: multikey quicksort over 8-byte words to a shallow depth, then blind tries for what still has a long common
    prefix. From both orders and their common prefixes follows, merging the smaller part into the larger one, how far left and
    right each member agrees with any other (:func:`agreements`).
-4. A group with more than LARGE classes is not sorted in one task. The strings of its contexts are compared in ever shorter ranges of offsets
-   by hashes of what all strings of a range share and of what the range spans (:func:`_refine`), down to single strings; that is exact too, and is
-   dealt out by hash.
+5. A group with more than LARGE classes is first parted for the tasks: by ranges of offsets, members meet by a hash of what all strings of the
+   range share, and those that agree in all the range spans are one (:func:`_refine`). A part of at most LARGE members is sorted as in 4, a larger one is
+   parted by finer ranges; in the finest, of one string, equal members are all there is. The result does not depend on LARGE.
 
-Equality of strings in 1, 2 and 4 rests on 64-bit hashes that must agree together with the anchor's own 64-bit hash.
+Skew. A frequent anchor or class is matched by a broadcast of the keys that hold 1/HEAVY of all rows or more, of which there are at most
+HEAVY; all other keys are too small to matter to one task (:func:`codeweave.llm.common.spread_join`).
 
-Defined cases: null text counts as empty; texts shorter than LENGTH keep all; repeated rows of one document are copies of each other and lose
-all that is covered; overlapping strings count, and are judged on the input; a null id is a value like any other; an empty table gives an empty
-result; other columns are not read.
+Equality of texts rests on 128 bits, that of strings on 64-bit hashes that must agree together with the anchor's own 64-bit hash.
+
+Defined cases: null text counts as empty; texts shorter than LENGTH keep all; repeated rows, of one id, of several or of none, are copies of each
+other and lose all that is covered; overlapping strings count, and are judged on the input; null and repeated ids are only carried along; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +45,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import settle
+from codeweave.llm.common import settle, settle_by, spread_join
 
 LENGTH, GRAM, SHALLOW, LARGE, BLOCK = 200, 32, 64, 512, 1 << 22
 REACH = LENGTH - GRAM
 BASE = 0x9E3779B97F4A7C15
-NO_ID = -(1 << 63)
+#: Anchor rows of one output batch.
+ROWS = 1 << 17
 
 
 # Anchors -------------------------------------------------------------------------------------------------------------
@@ -80,9 +88,9 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return g
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all LENGTH-byte strings of ``data``."""
-    places, hashes = [], []
+def anchor_blocks(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the anchors of all LENGTH-byte strings of ``data``, in order, a block of bytes a time."""
+    last = -1
     for s in range(0, len(data) - LENGTH + 1, BLOCK):
         b = np.frombuffer(data, np.uint8, min(len(data) - s, BLOCK + LENGTH - 1), s)
         g = gram_hashes(b)
@@ -95,30 +103,86 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             low = np.minimum(low[:len(low) - (need - width)], low[need - width:])
         at = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         at = at[np.r_[True, at[1:] != at[:-1]]]
-        if places and len(at) and places[-1][-1] == at[0] + s:
+        if at[0] + s == last:
             at = at[1:]
-        places.append(at + s)
-        hashes.append(g[at])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(places), np.concatenate(hashes)
+        if len(at):
+            last = int(at[-1]) + s
+            yield at + s, g[at]
+
+
+def _flat(data: bytes, at: np.ndarray) -> np.ndarray:
+    """Which anchors stand in the inside of a run of one byte, after two others of the same context."""
+    lo, hi = max(0, int(at[0]) - REACH), min(len(data), int(at[-1]) + LENGTH)
+    b = np.frombuffer(data, np.uint8, hi - lo, lo)
+    edges = np.flatnonzero(b[1:] != b[:-1]) + lo
+    whole = (at >= REACH) & (at + LENGTH <= len(data)) & (np.searchsorted(edges, at - REACH) == np.searchsorted(edges, at + LENGTH - 1))
+    out = np.zeros(len(at), bool)
+    out[2:] = whole[2:] & whole[1:-1] & whole[:-2] & (at[2:] - at[:-2] == 2)
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of ranges, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def text_anchors(data: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Of one text: (gram hash, context hash, place, weight) of each different context, and the ranges that contexts repeated in it cover."""
+    n, kinds, spans = len(data), {}, []
+    for at, g in anchor_blocks(data):
+        if len(at) > 1024 and 8 * len(at) > at[-1] - at[0]:
+            flat = _flat(data, at)
+            if flat.any():  # all that a stretch covers; its first two stay and make the class
+                ends = np.flatnonzero(np.diff(np.r_[False, flat, False].astype(np.int8)))
+                spans += [(int(at[x]) - REACH, int(at[y - 1]) + LENGTH) for x, y in zip(ends[::2], ends[1::2])]
+                at, g = at[~flat], g[~flat]
+        for p, h in zip(at.tolist(), g.view(np.int64).tolist()):
+            c = xxhash.xxh3_64_intdigest(data[max(0, p - REACH):p + LENGTH], min(p, REACH))
+            first = kinds.setdefault((h, c), p)
+            if first != p:
+                if first >= 0:
+                    spans.append((max(0, first - REACH), min(n, first + LENGTH)))
+                    kinds[h, c] = ~first
+                spans.append((max(0, p - REACH), min(n, p + LENGTH)))
+        if len(spans) > ROWS:
+            spans = merged(spans)
+    return [(h, c, p if p >= 0 else ~p, 1 if p >= 0 else 2) for (h, c), p in kinds.items()], merged(spans)
+
+
+ANCHORS = "h long, c long, k binary, pos long, n int, runs array<long>"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of texts (``k, z, copies``); a row without ``h`` holds the ranges that a text covers by itself."""
+    open_ = zstandard.ZstdDecompressor()
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    names = [x.split(" ")[0] for x in ANCHORS.split(", ")]
+
+    def made(cols: list[list]) -> pa.RecordBatch:
+        h, c, *rest = (np.array(x, object) if i < 2 else x for i, x in enumerate(cols))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h, c, *rest), kinds)], names)
+
+    cols: list[list] = [[] for _ in names]
     for batch in batches:
-        ids, tags, cols = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [[], [], [], []]
-        for doc, tag, value in zip(ids, tags, batch.column(2)):
-            data = (value.as_py() or "").encode("utf-8", "surrogatepass")
-            at, g = anchors(data)
-            if not len(at):
-                continue
-            c = [xxhash.xxh3_64_intdigest(data[max(0, p - REACH):p + LENGTH], min(p, REACH)) for p in at.tolist()]
-            cols[0].append(g.view(np.int64))
-            cols[1].append(np.array(c, np.uint64).view(np.int64))
-            cols[2].append(np.full(len(at), doc, np.int64))
-            cols[3].append((at << 32) | int(tag))
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "c", "doc", "pack"])
+        for k, z, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            found, spans = text_anchors(open_.decompress(z.as_py()))
+            for h, c, p, n in found:
+                for col, v in zip(cols, (h, c - (1 << 64) if c >> 63 else c, k, p, 2 if copies > 1 else n, None)):
+                    col.append(v)
+            if spans and copies == 1:
+                for col, v in zip(cols, (None, None, k, 0, 0, [x for s in spans for x in s])):
+                    col.append(v)
+            if len(cols[0]) >= ROWS:
+                yield made(cols)
+                cols = [[] for _ in names]
+    if cols[0]:
+        yield made(cols)
 
 
 # Deep-shallow sorting ------------------------------------------------------------------------------------------------
@@ -243,18 +307,18 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def report() -> Iterator[pa.RecordBatch]:
         found = agreements([x[p:] for _, _, _, x, p in rows], [x[:p][::-1] for _, _, _, x, p in rows])
-        out = [(d, k, [v for pair in f for v in pair]) for (d, k, n, _, _), f in zip(rows, found) if n == 1 and f]
+        out = [(k, p, [v for pair in f for v in pair]) for (k, p, n, _, _), f in zip(rows, found) if n == 1 and f]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                                              pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc", "pack", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()),
+                                              pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["k", "pos", "pairs"])
 
     for batch in batches:
-        for h, doc, pack, n, text, before in zip(*(c.to_pylist() for c in batch.columns)):
+        for h, k, pos, n, text, before in zip(*(c.to_pylist() for c in batch.columns)):
             if h != group and rows:
                 yield from report()
                 rows = []
             group = h
-            rows.append((doc, pack, n, text, before))
+            rows.append((k, pos, n, text, before))
     if rows:
         yield from report()
 
@@ -270,7 +334,7 @@ def _range_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for h, doc, pack, text, before, todo in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, k, pos, text, before, todo in zip(*(c.to_pylist() for c in batch.columns)):
                 after = len(text) - before
                 for first, last, n in zip(todo[::3], todo[1::3], todo[2::3]):
                     for a in range(first, last, width):
@@ -281,138 +345,162 @@ def _range_rows(width: int):
                         core = text[before - a:before + LENGTH - stop + 1]
                         whole = text[before - hi:before + LENGTH - lo]
                         key = h.to_bytes(8, "big", signed=True) + bytes([a, stop])
-                        row = (doc, pack, n, a, stop, xxhash.xxh3_64_intdigest(key + core), xxhash.xxh3_64_intdigest(key + bytes([lo, hi]) + whole, 1))
+                        row = (k, pos, n, a, stop, xxhash.xxh3_64_intdigest(key + core), xxhash.xxh3_64_intdigest(key + bytes([lo, hi]) + whole, 1))
                         for col, v in zip(out, row):
                             col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in out[:5]), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[5:])],
-                    ["doc", "pack", "n", "a", "stop", "core", "whole"])
+                    [pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:5]), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[5:])],
+                    ["k", "pos", "n", "a", "stop", "core", "whole"])
     return run
 
 
-def _refine(contexts: DataFrame) -> DataFrame:
-    """``doc, pack, pairs`` for contexts (``h, doc, pack, n, text, before``) of large groups, by falling ranges of offsets.
+def _sort(members: DataFrame, group: str) -> DataFrame:
+    return (members.select(group, "k", "pos", "n", "text", "before").repartition(group).sortWithinPartitions(group)
+            .mapInArrow(_sorted_groups, "k binary, pos long, pairs array<int>"))
+
 
-    Within a range, contexts that agree in all its strings are covered there, and one of them stands for the others in the
-    next, finer level; those that share nothing of what all strings of the range have in common are done with.
+def _refine(contexts: DataFrame, large: int) -> DataFrame:
+    """``k, pos, pairs`` for contexts (``h, k, pos, n, text, before``) of large groups, by falling ranges of offsets.
+
+    Within a range, contexts that agree in all its strings are covered there, and one of them stands for the others from then on; those
+    that share nothing of what all strings of the range have in common are done with.
     """
-    todo = contexts.withColumn("todo", F.array(F.lit(0).cast("long"), F.lit(REACH + 1).cast("long"), F.col("n")))
-    found = None
+    todo = contexts.withColumn("todo", F.array(F.lit(0).cast("long"), F.lit(REACH + 1).cast("long"), F.col("n").cast("long")))
+    found = pairs = None
     for width in WIDTHS:
-        rows = settle(todo.select("h", "doc", "pack", "text", "before", "todo").mapInArrow(
-            _range_rows(width), "doc long, pack long, n long, a long, stop long, core long, whole long"), "ranges")
-        kinds = settle(rows.groupBy("core", "whole", "a", "stop").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pack")).alias("one")), "kinds")
-        same = rows.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"]).select("doc", "pack", "a", "stop")
+        rows = settle(todo.select("h", "k", "pos", "text", "before", "todo").mapInArrow(
+            _range_rows(width), "k binary, pos long, n long, a long, stop long, core long, whole long"), "ranges")
+        kinds = settle(rows.groupBy("core", "whole", "a", "stop").agg(F.sum("n").alias("n"), F.min(F.struct("k", "pos")).alias("one")), "kinds")
+        same = spread_join(rows.drop("n"), kinds.filter("n > 1").select("core", "whole", "n"), ["core", "whole"], "n").select("k", "pos", "a", "stop")
         found = same if found is None else found.unionByName(same)
-        several = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("core")
-        left = (kinds.filter("stop - a > 1").join(several, "core").groupBy("one.doc", "one.pack")
-                .agg(F.flatten(F.collect_list(F.array("a", "stop", "n"))).alias("todo")))
-        todo = settle(contexts.join(left, ["doc", "pack"]), "todo")
+        several = settle(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "several")
+        left = settle(spread_join(kinds.filter("stop - a > 1"), several, ["core"], "members").select("core", "one.k", "one.pos", "a", "stop", "n", "members"), "left")
+        small = contexts.drop("n").join(left.filter(F.col("members") <= large).select("core", "k", "pos", "n"), ["k", "pos"])
+        pairs = _sort(small, "core") if pairs is None else pairs.unionByName(_sort(small, "core"))
+        more = left.filter(F.col("members") > large).groupBy("k", "pos").agg(F.flatten(F.collect_list(F.array("a", "stop", "n"))).alias("todo"))
+        todo = settle(contexts.join(more, ["k", "pos"]), "todo")
+        if not todo.take(1):
+            break
     # offsets a .. stop - 1 are covered: their strings span stop - 1 bytes before the anchor and LENGTH - a from it on, cut by the context
-    ends = found.join(contexts.select("doc", "pack", "before", F.length("text").alias("size")), ["doc", "pack"])
+    ends = found.join(contexts.select("k", "pos", "before", F.length("text").alias("size")), ["k", "pos"])
     l = F.least(F.col("stop") - 1, F.col("before")).cast("int")  # noqa: E741
     r = F.least(F.lit(LENGTH) - F.col("a"), F.col("size") - F.col("before")).cast("int")
-    return ends.groupBy("doc", "pack").agg(F.flatten(F.collect_list(F.array(l, r))).alias("pairs"))
+    return pairs.unionByName(ends.groupBy("k", "pos").agg(F.flatten(F.collect_list(F.array(l, r))).alias("pairs")))
 
 
 # The whole -----------------------------------------------------------------------------------------------------------
 
+def _data(value: pa.Scalar) -> bytes:
+    return (value.as_py() or "").encode("utf-8", "surrogatepass")
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(_data(v)) for v in batch.column(1)], pa.binary())], ["doc_id", "k"])
+
+
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes: what a shuffle of all documents moves."""
+    """Texts as compressed bytes, with their digests: what a shuffle of all texts moves."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        data = [press.compress((v.as_py() or "").encode("utf-8", "surrogatepass")) for v in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc", "tag", "z"])
+        out: list[list] = [[], [], [], []]
+        for value in batch.column(1):
+            data = _data(value)
+            for col, v in zip(out, (xxhash.xxh3_128_digest(data), len(data), hashlib.sha256(data).digest(), press.compress(data))):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.binary(), pa.binary()))], ["k", "n_bytes", "sha", "z"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[list] = [[], [], [], [], [], [], []]
-        for z, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+        for k, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             data = open_.decompress(z.as_py())
             for w in wanted:
-                p = w["pack"] >> 32
-                for col, v in zip(out, (w["h"], w["doc"], w["pack"], w["n"], data[max(0, p - REACH):p + LENGTH], min(p, REACH), w["classes"])):
+                p = w["pos"]
+                for col, v in zip(out, (w["h"], k, p, w["n"], data[max(0, p - REACH):p + LENGTH], min(p, REACH), w["classes"])):
                     col.append(v)
         if out[0]:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "doc", "pack", "n", "text", "before", "classes"])
-
-
-def cut(data: bytes, spans: list[tuple[int, int | None, int | None]]) -> tuple[bytes, int, int]:
-    """(kept bytes, bytes removed, runs removed); spans are (anchor, bytes before, bytes from it on), None: the whole context."""
-    n, runs = len(data), []
-    for p, l, r in spans:  # noqa: E741
-        l = min(p, REACH) if l is None else l  # noqa: E741
-        r = min(n - p, LENGTH) if r is None else r
-        if l + r >= LENGTH:
-            runs.append((p - l, p + r))
-    out, last, removed, count = [], 0, 0, 0
-    end = -1
-    for a, b in sorted(runs):
-        if a > end:
-            out.append(data[last:a])
-            count += 1
-            removed += b - a
-            end = b
-        elif b > end:
-            removed += b - end
-            end = b
-        last = end
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "k", "pos", "n", "text", "before", "classes"])
+
+
+def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """(kept bytes, bytes removed, runs removed); spans are ranges that go."""
+    out, last, removed = [], 0, 0
+    runs = merged(spans)
+    for a, b in runs:
+        out.append(data[last:a])
+        removed += b - a
+        last = b
     out.append(data[last:])
-    return b"".join(out), removed, count
+    return b"".join(out), removed, len(runs)
 
 
 def _results(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for z, spans in zip(batch.column(1), batch.column(2).to_pylist()):
                 data = open_.decompress(z.as_py())
-                flat = []
+                ranges = []
                 for s in spans or ():
-                    p, pairs = s["pack"] >> 32, s["pairs"]
-                    flat += [(p, None, None)] if pairs is None else [(p, l, r) for l, r in zip(pairs[::2], pairs[1::2])]
-                kept, removed, count = cut(data, flat)
-                for col, v in zip(out, (len(data), removed, count, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None)):
+                    p, pairs = s["pos"], s["pairs"]
+                    if s["runs"] is not None:
+                        ranges += zip(s["runs"][::2], s["runs"][1::2])
+                    elif pairs is None:  # the whole context
+                        ranges.append((max(0, p - REACH), min(len(data), p + LENGTH)))
+                    else:
+                        ranges += [(p - l, p + r) for l, r in zip(pairs[::2], pairs[1::2])]  # noqa: E741
+                kept, removed, count = cut(data, [(a, b) for a, b in ranges if b - a >= LENGTH])
+                for col, v in zip(out, (removed, count, hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace") if with_text else None)):
                     col.append(v)
-            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.string())] * with_text, names + ["kept"] * with_text)
+            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:2]), pa.array(out[2], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.string())] * with_text, ["k", "removed", "spans", "kept_sha"] + ["kept"] * with_text)
     return run
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, large: int = LARGE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the remaining text) of every document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"))
-    tag = F.col("pack").bitwiseAND(F.lit(0xFFFFFFFF))
-    marks = rows.mapInArrow(_anchor_rows, "h long, c long, doc long, pack long")
-    # written before the join: an aggregation in the join's own stage would keep AQE from splitting a frequent anchor
-    often = settle(marks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h"), "often")
-    shared = settle(marks.join(often, "h"), "anchors")
-    classes = settle(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pack")).alias("one"))
-                     .select("h", "c", "n", "one.doc", "one.pack"), "classes")
-    groups = (classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("alone"))
-              .filter("classes > 1 and alone > 0").select("h", "classes"))
-    wanted = (classes.join(groups, "h").withColumn("tag", tag)
-              .groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "doc", "pack", "n", "classes")).alias("wanted")))
-    pressed = rows.filter(F.length("text") > 0).mapInArrow(_pressed, "doc long, tag long, z binary")
-    first = wanted.join(pressed, ["doc", "tag"]).select("z", "wanted")
-    contexts = settle(first.mapInArrow(_contexts, "h long, doc long, pack long, n long, text binary, before int, classes long"), "contexts")
-    usual = (contexts.filter(F.col("classes") <= large).select("h", "doc", "pack", "n", "text", "before")
-             .repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "doc long, pack long, pairs array<int>"))
-    spans = usual
-    crowded = contexts.filter(F.col("classes") > large).drop("classes").dropDuplicates(["doc", "pack"])  # repeated rows of a document
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = settle_by(rows.mapInArrow(_pressed, "k binary, n_bytes long, sha binary, z binary").groupBy("k").agg(
+        F.first("z").alias("z"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"), F.count(F.lit(1)).alias("copies")), "texts", "k")
+    marks = settle(texts.filter(F.col("n_bytes") >= LENGTH).select("k", "z", "copies").mapInArrow(_anchor_rows, ANCHORS), "marks")
+    anchors = marks.filter("h is not null").select("h", "c", "k", "pos", "n")
+    often = settle(anchors.groupBy("h").agg(F.sum("n").alias("weight")).filter("weight > 1"), "often")
+    shared = settle(spread_join(anchors, often, ["h"], "weight").drop("weight"), "anchors")
+    classes = settle(shared.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("k", "pos")).alias("one"))
+                     .select("h", "c", "n", "one.k", "one.pos"), "classes")
+    groups = settle(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("alone"))
+                    .filter("classes > 1 and alone > 0").select("h", "classes"), "groups")
+    wanted = (spread_join(classes, groups, ["h"], "classes").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "n", "classes")).alias("wanted")))
+    contexts = settle(texts.select("k", "z").join(wanted, "k").select("k", "z", "wanted").mapInArrow(
+        _contexts, "h long, k binary, pos long, n long, text binary, before int, classes long"), "contexts")
+    pairs = _sort(contexts.filter(F.col("classes") <= large), "h")
+    crowded = contexts.filter(F.col("classes") > large).drop("classes")
     if crowded.take(1):
-        spans = spans.unionByName(_refine(settle(crowded, "crowded")))
-    whole = shared.join(classes.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc", "pack", F.lit(None).cast("array<int>").alias("pairs"))
-    by_doc = (spans.unionByName(whole).groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("pack", "pairs")).alias("spans")))
-    everything = rows.mapInArrow(_pressed, "doc long, tag long, z binary").join(by_doc, ["doc", "tag"], "left")
-    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
+        pairs = pairs.unionByName(_refine(settle(crowded, "crowded"), large))
+    repeated = classes.filter("n > 1").select("h", "c", F.col("n").alias("weight"))
+    none = lambda t: F.lit(None).cast(t)
+    whole = spread_join(shared, repeated, ["h", "c"], "weight").select("k", "pos", none("array<int>").alias("pairs"), none("array<long>").alias("runs"))
+    own = marks.filter("h is null").select("k", "pos", none("array<int>").alias("pairs"), "runs")
+    spans = (pairs.withColumn("runs", none("array<long>")).unionByName(whole).unionByName(own)
+             .groupBy("k").agg(F.collect_list(F.struct("pos", "pairs", "runs")).alias("spans")))
+    if with_text:
+        touched = texts.select("k", "z").join(spans, "k", "left").select("k", "z", "spans")
+    else:
+        touched = texts.filter("copies = 1").select("k", "z").join(spans, "k").select("k", "z", "spans")
     extra = ", kept string" if with_text else ""
-    return (everything.select(doc_id.alias("doc_id"), "z", "spans")
-            .mapInArrow(_results(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}"))
+    changed = touched.mapInArrow(_results(with_text), f"k binary, removed long, spans long, kept_sha binary{extra}")
+    # a text of several rows goes whole, if it has LENGTH bytes
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    figures = texts.select("k", "n_bytes", "sha", "copies").join(changed, "k", "left").select(
+        "k", "n_bytes", "copies", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.lower(F.hex(F.when(gone, F.unhex(F.lit(hashlib.sha256().hexdigest()))).otherwise(F.coalesce("kept_sha", "sha")))).alias("kept_sha256"),
+        *([F.when(gone, "").otherwise(F.col("kept")).alias("kept")] if with_text else []))
+    out = spread_join(rows.mapInArrow(_named, "doc_id long, k binary"), settle(figures, "figures"), ["k"], "copies")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

@@ -225,14 +225,14 @@ def repeats(df, **how):
     return collections.Counter(tuple(r)[1:] for r in suffix_dedup.remove_repeats(df, **how).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
 
 
-@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 1])
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 6, 1])
 def test_suffix_dedup_query(docs, frame, large):
     some = frame.head(120)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs.filter(docs.doc_id.isin(some.doc_id.tolist())), large=large).collect()}
     assert [got[i] for i in some.doc_id] == brute_repeats([t.encode() for t in some.text])
 
 
-@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 1])
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 4, 1])
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_dedup_mutated_copies(spark, seed, large):
     rng = random.Random(seed)
@@ -254,6 +254,41 @@ def test_suffix_dedup_odd(odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_ids_are_no_keys(spark):
+    """Texts of one id, or of none, with one 32-bit hash: each keeps its own result."""
+    from pyspark.sql import functions as F
+
+    made = spark.range(300_000).select(F.expr("repeat(concat(hex(id * 2654435761), ' '), 30)").alias("t"))
+    pair = made.groupBy(F.hash("t")).agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1).first()["ts"][:2]
+    texts = [*pair, pair[0][:250] + "".join(map(chr, range(300, 400)))]
+    for ids in ([None, None, 9], [4, 4, 4]):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        assert repeats(df) == collections.Counter(brute_repeats([t.encode() for t in texts]))
+
+
+def test_suffix_dedup_runs(spark):
+    """A megabyte of one byte, alone and inside a text: few anchors, and covered whole."""
+    data = b"some words " * 3 + b" " * (1 << 20) + bytes(random.Random(8).choices(b"abcdefgh", k=900)) + b"-" * 300
+    found, spans = suffix_dedup.text_anchors(data)
+    assert len(found) < 1000 and sum(b - a for a, b in spans) >= 1 << 20
+    texts = ["x" * 3000, "xy" * 900, "q" * 200, "q" * 201, "a" + " " * 2000 + "b", " " * 199]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert repeats(df) == collections.Counter(brute_repeats([t.encode() for t in texts]))
+    big = spark.createDataFrame([(1, data.decode()), (2, "z" * 150)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(big).collect()}
+    assert rows[1]["n_spans"] == 2 and (1 << 20) + 300 <= rows[1]["n_removed"] <= (1 << 20) + 301 and rows[2]["n_removed"] == 0
+
+
+def test_suffix_dedup_many_classes(spark):
+    """One passage of 230 bytes in 5,000 different surroundings, and a shorter one that no string of 200 bytes covers."""
+    rng = random.Random(9)
+    long, short = ("".join(rng.choices("abcdefghij ", k=n)) for n in (230, 190))
+    noise = lambda: "".join(rng.choices("klmnopqrst", k=rng.randrange(60, 90)))
+    texts = [noise() + (long if i % 3 else short) + noise() for i in range(5000)]
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert repeats(df) == collections.Counter(brute_repeats([t.encode() for t in texts]))
+
+
 @given(st.lists(st.binary(max_size=150).map(lambda b: bytes(x % 3 for x in b)), max_size=25))
 @settings(max_examples=150, deadline=None)
 def test_deep_shallow_order(strings):
