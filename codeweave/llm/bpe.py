@@ -1,15 +1,21 @@
 """BPE encoding and decoding (operator 1): a bounded-lookahead streaming transducer.
 
-Method. Within one pre-token, byte-pair merging is a function of the whole pre-token, which has no length bound.
-From the merge list alone we compute how many bytes past the end of a merge's own bytes can still decide whether that
-merge happens (:func:`sufficient_lookahead`). A token that ends at least that many bytes before the end of what has
-been read can never change any more, so the transducer emits it and forgets it: memory is bounded by the lookahead and
-not by the text. To the right of an emitted boundary the encoding is that of the rest alone, so it goes on from there.
-Decoding maps ids to bytes and runs an incremental UTF-8 state machine over them.
+Method. A text goes through one :class:`Transducer`, a block of characters a time. It cuts pre-tokens and merges their bytes as they
+come, and emits a token once it is stable. Two things make one stable:
+
+* the end of its pre-token, which is known a few characters later (LOOK) and over which no merge reaches;
+* within a pre-token of any length, distance: from the merge list alone we compute how many bytes past the end of a merge's own bytes
+  can still decide whether that merge happens (:func:`sufficient_lookahead`). A token that ends at least that many bytes before the
+  end of what has been read can never change any more. To the right of an emitted boundary the encoding is that of the rest alone, so it goes on from there.
+
+So what a transducer holds is bounded by a block and the lookahead, never by the text or a pre-token. A worker remembers the ids of short
+pre-tokens that have been settled; that saves merging them again and changes nothing else. Decoding maps ids to bytes and runs an incremental UTF-8 state
+machine over them.
 
 Defined cases: null text counts as empty; empty text gives no ids and the digest of nothing; ill-formed byte sequences
 decode to U+FFFD per maximal invalid part; rows are independent, so repeats and ties need no rule; an empty table gives
-an empty result; columns of the input other than the id and the text are not read.
+an empty result; columns of the input other than the id and the text are not read. A vocabulary file with options that this encoder does
+not know (dropout, ignored merges, added tokens that strip or need word ends) is refused.
 """
 
 from __future__ import annotations
@@ -45,7 +51,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 FIRST_DISPUTED, STAND_IN = "՘", {"L": "a", "N": "1", "O": "!", "S": " "}
 
 #: A worker keeps the ids of two generations of so many pre-tokens of so many characters at most.
-CACHE_WORDS, CACHE_CHARS, SPLIT_CHARS, PIECES_AT_ONCE, NEVER = 250_000, 48, 1 << 20, 1 << 16, 1 << 60
+CACHE_WORDS, CACHE_CHARS, NEVER = 250_000, 48, 1 << 60
+#: Characters that a transducer takes at once, and those after a pre-token's end that it must have seen to know the end.
+BLOCK_CHARS, LOOK = 1 << 16, 4
+#: What a pre-token whose end is not in sight goes on with: letters, numbers, blanks, others.
+GOING_ON = {k: regex.compile(x) for k, x in {"L": r"\p{L}*", "N": r"\p{N}*", "S": r"\s*", "O": r"[^\s\p{L}\p{N}]*"}.items()}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -97,6 +107,10 @@ class Codec:
         model, pre = data["model"], data["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or data["normalizer"]:
             raise ValueError("only byte-level BPE files without normalizer and prefix space are supported")
+        if any(model.get(x) for x in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            raise ValueError("a model option that changes merges is set")
+        if any(t.get(x) for t in data["added_tokens"] for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that strip blanks or need word ends are not supported")
         alphabet = byte_alphabet()
         raw = lambda t: bytes(alphabet[c] for c in t)
         vocab = {raw(t): i for t, i in model["vocab"].items()}
@@ -116,6 +130,7 @@ class Codec:
         self.block = 2 * (self.lookahead + max(map(len, vocab)))
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.longest_special = max(map(len, self.added), default=0)
         self.cache = _Words(self)
 
     # encoding -------------------------------------------------------------------------------------------------------
@@ -157,54 +172,15 @@ class Codec:
                 heapq.heappush(heap, (r, p, ids[p], ids[i]))
         return [x for x in ids if x >= 0]
 
-    def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
-        """Ids of one pre-token that arrives in blocks, each as soon as no later byte can change it."""
-        held = b""
-        for block in blocks:
-            held += block
-            if len(held) <= self.block:
-                continue
-            settled, end, out = len(held) - self.lookahead, 0, []
-            for i in self.merge(held):
-                if end + self.length[i] > settled:
-                    break
-                end += self.length[i]
-                out.append(i)
-            held = held[end:]
-            yield out
-        if held:
-            yield self.merge(held)
-
-    def word(self, piece: str) -> bytes:
-        """Ids of one pre-token as little-endian unsigned 32-bit integers."""
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) <= self.block:
-            return _uint32(self.merge(data))
-        step = self.block // 2
-        return b"".join(map(_uint32, self.stream(data[i:i + step] for i in range(0, len(data), step))))
-
-    def pieces(self, text: str) -> Iterator[str]:
-        """The pre-tokens of a text without added tokens, as the library's Unicode version (16.0) cuts it."""
-        if text.isascii() or not (odd := _disputed(text)):
-            return (m.group() for m in self.split.finditer(text)) if len(text) > SPLIT_CHARS else self.split.findall(text)
-        return (text[m.start():m.end()] for m in self.split.finditer(text.translate(odd)))
-
-    def encode(self, text: str) -> Iterator[bytes]:
+    def pieces(self, text: str, seen: str) -> list[str]:
+        """The pre-tokens of ``text``, cut where ``seen`` says."""
+        return self.split.findall(text) if seen is text else [text[m.start():m.end()] for m in self.split.finditer(seen)]
+
+    def encode(self, text: str, step: int = BLOCK_CHARS) -> Iterator[bytes]:
         """Parts of the id sequence of a text, in order, as little-endian unsigned 32-bit integers."""
-        at = 0
-        for m in self.special.finditer(text) if self.special else ():
-            yield from self._plain(text[at:m.start()])
-            yield _uint32([self.added[m.group()]])
-            at = m.end()
-        yield from self._plain(text[at:] if at else text)
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        pieces, look = self.pieces(text), self.cache.__getitem__
-        if isinstance(pieces, list):
-            yield b"".join(map(look, pieces))
-            return
-        while block := list(itertools.islice(pieces, PIECES_AT_ONCE)):
-            yield b"".join(map(look, block))
+        machine = Transducer(self)
+        for i in range(0, len(text), step):
+            yield from machine.feed(text[i:i + step] if len(text) > step else text, i + step >= len(text))
 
     # decoding -------------------------------------------------------------------------------------------------------
 
@@ -221,6 +197,80 @@ class Codec:
         yield machine.decode(b"", True)
 
 
+class Transducer:
+    """Ids of one text that arrives in blocks, each as soon as no later character can change it."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.buffer = ""                        # characters that are not cut yet
+        self.open: regex.Pattern | None = None  # how the pre-token goes on whose end has not been seen
+        self.held = b""                         # its bytes that are not settled
+
+    def feed(self, block: str, last: bool = False) -> Iterator[bytes]:
+        c, text, at = self.codec, self.buffer + block, 0
+        stop = len(text)
+        if c.special:
+            while (m := c.special.search(text, at)) and (last or m.start() + c.longest_special <= len(text)):
+                yield from self._cut(text[at:m.start()], True)
+                yield _uint32([c.added[m.group()]])
+                at = m.end()
+            if not last:  # what may be the beginning of an added token waits
+                stop = max(at, len(text) - c.longest_special + 1)
+        rest = yield from self._cut(text[at:stop], last)
+        self.buffer = rest + text[stop:]
+
+    def _cut(self, text: str, final: bool) -> Iterator[bytes]:
+        """Emits what is settled of ``text`` and returns the characters that are not cut. ``final``: nothing comes after."""
+        c, at = self.codec, 0
+        seen = _as_seen(text)
+        if self.open:
+            at = self.open.match(seen).end()
+            ended = at < len(seen) or final
+            if self.open is GOING_ON["S"] and not (final and at == len(seen)):
+                at = max(0, at - 1)  # the last blank may belong to the next pre-token
+            yield from self._merge(text[:at], ended)
+            if not ended:
+                return text[at:]
+            self.open = None
+            text, seen = text[at:], text[at:] if seen is text else seen[at:]
+            if not seen.isascii():
+                seen = _as_seen(text)
+        pieces, rest = c.pieces(text, seen), ""
+        if not final:
+            end, piece = len(text), ""
+            while pieces and end > len(text) - LOOK:
+                piece = pieces.pop()
+                end -= len(piece)
+            rest = text[end:]
+        if pieces:
+            yield b"".join(map(c.cache.__getitem__, pieces))
+        if len(rest) > c.block // 2:  # a pre-token whose end is not in sight
+            kind = _class(_as_seen(piece)[-1])
+            lead = int(kind != "S" and rest[0] == " ")
+            self.open = GOING_ON[kind]
+            yield from self._merge(rest[:lead], False)
+            rest = yield from self._cut(rest[lead:], False)
+        return rest
+
+    def _merge(self, more: str, end: bool) -> Iterator[bytes]:
+        """Bytes of the open pre-token: merged a window a time, of which what lies beyond the lookahead is settled."""
+        c, at = self.codec, 0
+        data = self.held + more.encode("utf-8", "surrogatepass")
+        while len(data) - at > c.block:
+            settled, stop, out = c.block - c.lookahead, 0, []
+            for i in c.merge(data[at:at + c.block]):
+                if stop + c.length[i] > settled:
+                    break
+                stop += c.length[i]
+                out.append(i)
+            at += stop
+            yield _uint32(out)
+        self.held = data[at:]
+        if end and self.held:
+            yield _uint32(c.merge(self.held))
+            self.held = b""
+
+
 class _Words(dict):
     """Pre-token -> ids, of short pre-tokens; the generation before the present one is kept beside it."""
 
@@ -228,7 +278,7 @@ class _Words(dict):
         self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.older.get(piece) or self.codec.word(piece)
+        out = self.older.get(piece) or _uint32(self.codec.merge(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -242,12 +292,17 @@ def _stand_in(c: str) -> str | None:
     """A character of the class that Unicode 16.0 gives ``c``, if the regex module has it in another class."""
     kind = unicodedata.category(c)[0]
     kind = next((k for a, b, k in UNICODE_16 if a <= ord(c) <= b), kind if kind in "LN" else "S" if c.isspace() else "O")
-    seen = "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "S" if regex.match(r"\s", c) else "O"
-    return None if kind == seen else STAND_IN[kind]
+    return None if kind == _class(c) else STAND_IN[kind]
+
+
+def _as_seen(text: str) -> str:
+    """The text with stand-ins for the characters that the library's Unicode version (16.0) classes in another way."""
+    odd = {} if text.isascii() else {ord(c): s for c in set(text) if c >= FIRST_DISPUTED and (s := _stand_in(c))}
+    return text.translate(odd) if odd else text
 
 
-def _disputed(text: str) -> dict[int, str]:
-    return {ord(c): s for c in set(text) if c >= FIRST_DISPUTED and (s := _stand_in(c))}
+def _class(c: str) -> str:
+    return next(k for k in "LNSO" if GOING_ON[k].match(c).end())
 
 
 @functools.lru_cache(2)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from codeweave.llm import ann, bpe, chat, exact_dedup, lang_id, mixing, secrets, simhash, suffix_dedup, warc
 from codeweave.llm.common import read_table
 
-#: Where the vocabulary files lie; a parameter, as they are never part of this repository.
-TOKENIZERS = os.environ.get("CODEWEAVE_TOKENIZERS", "/opt/tokenizers")
+def vocabulary(path: str | None = None) -> str:
+    """Content of a vocabulary file; the files are never part of this repository."""
+    if path is None:
+        import public_tokenizers
 
-
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    with open(os.path.join(TOKENIZERS, name), encoding="utf-8") as f:
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         return f.read()
 
 

@@ -53,9 +53,10 @@ def sha(text):
 
 @pytest.fixture(scope="module")
 def both():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    return bpe.codec(queries.vocabulary()), Tokenizer.from_file(os.path.join(queries.TOKENIZERS, "byte_bpe_50k.json"))
+    return bpe.codec(queries.vocabulary()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(codec, text):
@@ -94,13 +95,62 @@ def test_bpe_lookahead_by_hand():
     assert bpe.sufficient_lookahead([(b"a", b"b"), (b"b", b"c")]) == 0
 
 
+PIECES = ["ab", "the", " in", "<|endoftext|>", "<|endof", "  ", "\n", " \n \t", "'s", "'r", "'", "'re", "1234", "ſ", "ʼn", "漢字", " ", "\x1c", "🤖", "\ua7cb", "\U00010d4a", "a" * 300, "=" * 9000, " " * 9000, "é" * 8000, "7" * 7000, "\n" * 7000]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=9).map("".join), st.sampled_from([1, 2, 3, 7, 64, 5000]))
+@settings(max_examples=120, deadline=None)
+def test_bpe_blocks_of_any_size(both, text, step):
+    text = text if step >= 64 else text[-400:]
+    ids = both[1].encode(text, add_special_tokens=False).ids
+    assert b"".join(both[0].encode(text, step)) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_bpe_every_byte_goes_through_the_transducer(both, frame):
+    """At all times: bytes told + bytes held = bytes fed, on ordinary documents and on one pre-token of 3 MB; what is held is bounded."""
+    c = both[0]
+    for text in [*frame.text.head(60), "".join(random.Random(1).choices("eainst", k=3_000_000))]:
+        machine, fed, told, early, step = bpe.Transducer(c), 0, 0, 0, 256 if len(text) < 10**6 else 1 << 16
+        for i in range(0, len(text), step):
+            block = text[i:i + step]
+            fed += len(block.encode())
+            for part in machine.feed(block, i + step >= len(text)):
+                told += sum(c.length[x] for x in struct.unpack(f"<{len(part) // 4}I", part))
+            waits = len(machine.held) + len(machine.buffer.encode())
+            assert told + waits == fed and waits <= 2 * c.block
+            early += told > 0 and i + step < len(text)
+        assert told == fed and (early > 0 or len(text) <= 2 * step)
+
+
+def test_bpe_memory_is_flat(both):
+    import tracemalloc
+
+    most = []
+    for n in (1 << 20, 1 << 23):
+        for text in (" some words and" * (n // 15), "ab" * (n // 2)):
+            tracemalloc.start()
+            count = sum(len(p) for p in both[0].encode(text))
+            most.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert count > 0
+    assert max(most[2:]) < 1.5 * max(most[:2])
+
+
 def test_bpe_stream_equals_whole(both):
     c = both[0]
-    text = ("".join(random.Random(1).choices("eainst", k=30_000))).encode()
-    assert [i for part in c.stream(text[i:i + 500] for i in range(0, len(text), 500)) for i in part] == c.merge(text)
+    text = "".join(random.Random(1).choices("eainst", k=30_000))
+    whole = c.merge(text.encode())
+    assert b"".join(c.encode(text, 500)) == struct.pack(f"<{len(whole)}I", *whole)
     assert list(c.decode([struct.pack("<2I", *(c.single[b] for b in b"\xc3\xa9"))], 1)) == ["", "é", ""]
 
 
+def test_bpe_refuses_what_it_does_not_know():
+    spec = json.loads(queries.vocabulary())
+    for change in ({"model": spec["model"] | {"dropout": 0.1}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(spec | change))
+
+
 def test_bpe_query(spark, docs, frame, both, odd, none):
     got = {r["doc_id"]: r for r in bpe.encode_decode(docs, queries.vocabulary(), with_output=True).collect()}
     for i, t in zip(frame.doc_id, frame.text):
