@@ -87,19 +87,22 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat": f"""
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
                    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        t as (select *, ceil(length(text) / 4.0) + 4 as tokens, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from c),
-        s as (select *, place = 1 and role = 'system' and tokens <= {chat.BUDGET // 4} as opening from t),
-        h as (select *, floor(({chat.BUDGET - chat.BUDGET // 4} - max(case when opening then tokens else 0 end) over (partition by conv_id)) / 2) as half, case when opening then 0 else tokens end as own from s),
+        t as (select *, ceil(chars / 4.0) as tokens, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from (select *,
+              4 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]|]', '', 'g')) + 3 + length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'g')) + 4 as chars from c)),
+        s as (select *, min(case when role = 'system' then place end) over (partition by conv_id) as system_place from t),
+        h as (select *, coalesce(place = system_place, false) as is_system, {chat.BUDGET} - coalesce(max(case when place = system_place then tokens end) over (partition by conv_id), 0) as room,
+              coalesce(max(case when place = system_place then chars end) over (partition by conv_id), 0) as system_chars from s),
+        k as (select *, greatest(floor(room / 2), 1) as half, case when is_system then 0 else tokens end as own from h),
         p as (select *, floor(coalesce(sum(own) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0) / half) as cell, own > half as large,
-              sum((own > half)::integer) over (partition by conv_id order by place) as larges from h),
+              sum((own > half)::integer) over (partition by conv_id order by place) as larges from k),
         f as (select *, place = 1 or cell is distinct from lag(cell) over w or large is distinct from lag(large) over w or larges is distinct from lag(larges) over w as starts
               from p window w as (partition by conv_id order by place)),
-        w as (select *, sum(starts::integer) over (partition by conv_id order by place) as win, coalesce(lead(starts, 1) over v, false) as next1, coalesce(lead(starts, 2) over v, false) as next2,
-              4 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]|]', '', 'g')) + 3 + length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'g')) + 4 as chars
-              from f window v as (partition by conv_id order by place)),
-        o as (select conv_id, max(chars) as opening_chars from w where opening group by conv_id),
-        x as (select w.*, chars * (1 + case when not opening and tokens <= {chat.BUDGET // (4 * chat.HISTORY_TURNS)} then next1::integer + next2::integer else 0 end)
-              + case when starts and win > 1 then coalesce(opening_chars, 0) else 0 end as all_chars from w left join o using (conv_id))
+        w as (select *, sum(starts::integer) over (partition by conv_id order by place) as win from f),
+        l as (select *, room - sum(own) over (partition by conv_id, win) as rest, lag(own, 1) over v as own1, lag(own, 2) over v as own2,
+              case when lag(is_system, 1) over v then 0 else lag(chars, 1) over v end as chars1, case when lag(is_system, 2) over v then 0 else lag(chars, 2) over v end as chars2
+              from w window v as (partition by conv_id order by place)),
+        x as (select *, chars + case when starts then coalesce(case when place > system_place then system_chars end, 0) + coalesce(case when own1 <= rest then chars1 end, 0)
+              + coalesce(case when own1 <= rest and own1 + own2 <= rest then chars2 end, 0) else 0 end as all_chars from l)
         select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
           coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
           sum(all_chars)::bigint as formatted_chars, max(win)::bigint as n_windows

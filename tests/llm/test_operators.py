@@ -374,15 +374,53 @@ def test_chat_windows(spark, budget):
     shown = chat.windows(t, budget)
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_back(shown).collect()}
     assert got == chat_by_hand(rows)
+    check_windows(shown, budget, chat.HISTORY_TURNS)
+
+
+def check_windows(shown, budget, history, tokens=lambda piece: -(-len(piece) // 4)):
+    """Every window: the system turn, then the longest run of earlier turns that fits, then its own turns; over the budget only where one turn is."""
+    by_conv = collections.defaultdict(list)
     for r in shown.collect():
-        parts = [re.match(r"<s>\[(.*?)\|([nhs])\](.*)$", x, re.DOTALL).groups() for x in r["formatted"].split("</s>")[:-1]]
-        room = sum(-(-len(b.replace("\\e", "\\").replace("\\l", "<").replace("\\i", "[")) // 4) + 4 for _, _, b in parts)
-        assert room <= budget or any(-(-len(b) // 4) + 4 > (budget - budget // 2) // 2 for _, k, b in parts if k == "n"), (room, parts)
-        assert sum(k == "h" for _, k, _ in parts) <= chat.HISTORY_TURNS
-        if r["conv_id"] is not None and r["conv_id"] % 2 and r["conv_id"] != 3 and r["window"] > 1 and "system" in str([x for x in rows if x[0] == r["conv_id"] and x[1] == 0]):
-            first = next(x for x in rows if x[0] == r["conv_id"] and x[1] == 0)
-            if -(-len(first[3] or "") // 4) + 4 <= budget // 4:
-                assert parts[0][:2] == ("system", "s")
+        pieces = [x + "</s>" for x in r["formatted"].split("</s>")[:-1]]
+        by_conv[r["conv_id"]].append((r["window"], [(*re.match(r"<s>\[(.*?)\|([nhs])\]", x).groups(), x) for x in pieces]))
+    for windows in by_conv.values():
+        before, system = [], None
+        for _, parts in sorted(windows):
+            kinds = "".join(k for _, k, _ in parts)
+            assert re.fullmatch("s?h{0,%d}n+" % history, kinds)
+            plain = lambda x: x.replace("|h]", "|n]").replace("|s]", "|n]")
+            own = [(r, plain(x)) for r, k, x in parts if k == "n"]
+            said = [plain(x) for _, k, x in parts if k == "h"]
+            assert (kinds[0] == "s") == (system is not None) and (system is None or plain(parts[0][2]) == system)
+            earlier = [x for x in before if x is not system]
+            assert said == (earlier[-len(said):] if said else [])
+            here = next((x for r, x in own if r == "system"), None) if system is None else None
+            spent = sum(tokens(x) for _, _, x in parts)
+            if spent > budget:
+                assert len(own) - (here is not None) <= 1 and not said
+            later = [x for x in own if x[1] is not here]
+            longer = before[-len(said) - 1:][:1] if before[-1:] != [system] else []
+            if len(said) < min(history, len(earlier)) and later and longer and longer[0] is not system:
+                reserved = tokens(system or "") if system else 0
+                assert reserved + sum(tokens(x) for x in [*said, longer[0], *(x for _, x in own if x is not here)]) > budget or here
+            system = system or here
+            before += [x for _, x in own]
+
+
+def test_chat_long_system_turn_and_given_tokens(spark):
+    """A system turn longer than the budget is in every window; so is one that comes late, from there on; token counts may be given."""
+    rows = [(1, 0, "system", "rule " * 2000)] + [(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1, 30)]
+    rows += [(2, 0, "user", "early " * 300), (2, 1, "system", "late"), *((2, k, "assistant", "word " * 150) for k in range(2, 12))]
+    t = spark.createDataFrame([(*r, 7 if r[1] else None) for r in rows], "conv_id long, turn long, role string, text string, n long")
+    shown = chat.windows(t, 1024)
+    check_windows(shown, 1024, chat.HISTORY_TURNS)
+    first = [r["formatted"] for r in shown.filter("conv_id = 1").collect()]
+    assert len(first) == 30 and all("rule rule" in x for x in first)
+    given = chat.windows(t, 40, n_tokens="n")
+    assert {r["conv_id"]: r["n_turns"] for r in chat.read_back(given).collect()} == {1: 30, 2: 12}
+    assert all(x["formatted"].count("</s>") <= 6 for x in given.collect())
+    for budget in (0, 1, 3):
+        assert {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.windows(t, budget)).collect()} == {1: 30, 2: 12}
 
 
 def test_chat_empty(spark):
