@@ -616,42 +616,87 @@ def test_lang_query(spark, docs, frame, odd, none):
 
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     assert (got[got.held_out].lang == got[got.held_out].lang_pred).mean() >= 0.97 and got.score.between(0, 1).all()
-    assert lang_id.accepted(docs).columns == docs.columns and lang_id.accepted(docs).count() == len(frame)
+    assert lang_id.accepted(docs).columns == docs.columns
     rows = {(r["doc_id"], r["lang_pred"]) for r in lang_id.identify(odd).collect()}
     assert {(1, "und"), (2, "und"), (7, "und"), (3, "en")} <= rows
     assert lang_id.identify(none).count() == 0 and lang_id.accepted(none).count() == 0 and {r["lang_pred"] for r in lang_id.identify(docs.withColumn("lang", docs.lang.substr(9, 1).cast("string")).selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
-def test_lang_code_lengths_are_exact():
-    """Against a walk through the context tree, byte by byte, with sums to one in every context."""
-    texts = {"x": b"abracadabra", "y": b"bananarama"}
+def model_of(texts):
     grams, counts = [], []
-    for t in texts.values():
-        b = lang_id.PAD + t
-        g = collections.Counter(int.from_bytes(b[i:i + 4], "big") for i in range(len(b) - 3))
-        grams.append(np.array(sorted(g)))
+    for ts in texts.values():
+        g = collections.Counter()
+        for t in ts:
+            b = (lang_id.PAD + t).translate(lang_id.FOLD_CASE)
+            g.update(int.from_bytes(b[i:i + lang_id.ORDER + 1], "big") for i in range(len(b) - lang_id.ORDER))
+        grams.append(np.array(sorted(g), np.int64))
         counts.append(np.array([g[k] for k in sorted(g)]))
-    tables = lang_id.Tables(lang_id.Model(["x", "y"], grams, counts))
-
-    def walk(k, context, byte):
-        p = 1 / 256
-        seen = collections.Counter()
-        for g, n in zip(grams[k].tolist(), counts[k].tolist()):
-            seen[g.to_bytes(4, "big")] += n
-        for order in range(4):
-            c = collections.Counter()
-            for g, n in seen.items():
-                if g[3 - order:3] == context[3 - order:]:
-                    c[g[3]] += n
+    return lang_id.Model(list(texts), grams, counts)
+
+
+def plain_code_length(texts, text):
+    """A walk through the context tree of one language, byte by byte: escapes from the longest known context down."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        b = lang_id.PAD + t
+        for i in range(lang_id.ORDER, len(b)):
+            for k in range(lang_id.ORDER + 1):
+                seen[b[i - k:i]][b[i]] += 1
+    b, total = lang_id.PAD + text, 0.0
+    for i in range(lang_id.ORDER, len(b)):
+        for k in range(lang_id.ORDER, -1, -1):
+            c = seen.get(b[i - k:i])
+            if c and b[i] in c:
+                total -= np.log2(c[b[i]] / (c.total() + len(c)))
+                break
             if c:
-                p = (c[byte] + len(c) * p) / (sum(c.values()) + len(c))
-        return p
-
-    text = b"banda!"
-    b = lang_id.PAD + text
-    want = [sum(-np.log2(walk(k, b[i - 3:i], b[i])) for i in range(3, len(b))) for k in range(2)]
-    assert np.allclose(tables.lengths("banda!"), want, rtol=1e-5)
-    assert abs(sum(walk(0, b"\n\n\n", v) for v in range(256)) - 1) < 1e-9
+                total -= np.log2(len(c) / (c.total() + len(c)))
+        else:
+            total += 8
+    return total
+
+
+@pytest.mark.parametrize("group, block", [(8, 1 << 17), (1, 7), (2, 64)])
+def test_lang_code_lengths_are_exact(monkeypatch, group, block):
+    """Several texts side by side, cut into blocks and groups of languages of any size."""
+    monkeypatch.setattr(lang_id, "GROUP", group)
+    monkeypatch.setattr(lang_id, "BLOCK", block)
+    texts = {"x": [b"abracadabra", b"cab\n"], "y": [b"bananarama"], "z": ["дом да дым".encode(), b"\x00\xff"]}
+    tables = lang_id.Tables(model_of(texts))
+    asked = [b"banda!", b"a", "дама".encode(), b"\xfe" * 30, b"abracadabra" * 9]
+    want = [[plain_code_length(ts, t) for ts in texts.values()] for t in asked]
+    assert np.allclose(tables.lengths(asked), want, rtol=1e-5)
+
+
+@pytest.mark.parametrize("latin", [4, 50])
+def test_lang_many_languages_and_scripts(latin):
+    """Made-up languages, two for each of four scripts, beside few or many Latin ones: the others do not matter."""
+    rng = random.Random(11)
+    scripts = {"big": [chr(0x4E00 + i) for i in range(300)], "cyrillic": [chr(0x430 + i) for i in range(32)], "greek": [chr(0x3B1 + i) for i in range(24)], "kana": [chr(0x3041 + i) for i in range(46)]}
+
+    def language(letters, seed):
+        r = random.Random(seed)
+        words = ["".join(r.choices(letters, k=r.randrange(1, 3) if len(letters) > 100 else r.randrange(2, 6))) for _ in range(150)]
+        return lambda n: " ".join(rng.choices(words, k=n))
+
+    made = {f"{k}{i}": language(v, f"{k}{i}") for k, v in scripts.items() for i in range(2)}
+    made |= {f"latin{i}": language("abcdefghijklmnopqrstuvwxyz", f"latin{i}") for i in range(latin)}
+    tables = lang_id.Tables(model_of({k: [say(60).encode() for _ in range(12)] for k, say in made.items()}))
+    names = list(made)
+    asked = [(k, say(15).encode()) for k, say in made.items() for _ in range(10)]
+    right = [names[i] == k for (k, _), i in zip(asked, tables.lengths([t for _, t in asked]).argmin(axis=1))]
+    assert np.mean(right) >= 0.99 and np.mean(right[:80]) >= 0.98
+
+
+def test_lang_accepted(spark, docs):
+    """Rejections take effect, others keep their columns; a null language becomes the prediction."""
+    some = docs
+    hidden = some.selectExpr("doc_id", "text", "if(doc_id % 9 = 0, null, lang) as lang", "source", "n_chars")
+    noise = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "123 456 !!", "en", "s", 9), (10**6 + 2, "".join(map(chr, range(0x500, 0x900))), None, "s", 9)], DOCS)
+    out = {r["doc_id"]: r["lang"] for r in lang_id.accepted(hidden.unionByName(noise)).collect()}
+    assert out == {r["doc_id"]: r["lang"] for r in some.collect()}
+    one = some.first()["lang"]
+    assert {r["lang"] for r in lang_id.accepted(some, languages=[one]).collect()} == {one}
 
 
 # all -----------------------------------------------------------------------------------------------------------------
