@@ -1,6 +1,6 @@
 """Language ID (operator 10): prediction by partial matching.
 
-Method. For each language a context tree over all 256 bytes (ASCII letters folded) holds how often each byte followed each
+Method. For each language a context tree over all 256 bytes of lower-cased texts holds how often each byte followed each
 context of up to ORDER bytes. A byte that was seen in the longest context known is coded with its share there; one that was not costs an
 escape, whose probability is the number of different bytes seen there over that number plus the count (method C), and is coded in the next shorter
 context, below order 0 as one of 256. A context that was never seen costs nothing and is left for the next shorter one. The statistics are frozen
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 ORDER, SAMPLE_DOCS, FOLDS, GROUP, BLOCK = 4, 1500, 5, 8, 1 << 17
 #: Bits by which the code of a text may be longer than its bytes: a word or two that were never seen tell nothing against a language.
 SPARE = 64
-FOLD_CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PAD = b"\n" * ORDER
 
 
+def folded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
 class Model(NamedTuple):
     """Sorted language values and, for each, the counts of byte sequences of length ORDER + 1 (as one integer each)."""
 
@@ -48,7 +51,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            b = np.frombuffer((PAD + text.as_py().encode()).translate(FOLD_CASE), np.uint8).astype(np.int64)
+            b = np.frombuffer(PAD + folded(text.as_py()), np.uint8).astype(np.int64)
             g = b[ORDER:].copy()
             for k in range(1, ORDER + 1):
                 g |= b[ORDER - k:len(b) - k] << (8 * k)
@@ -187,7 +190,7 @@ class Tables:
         parts: list[tuple[int, bytes]] = []
         size = 0
         for i, text in enumerate(texts):
-            data = (PAD + text).translate(FOLD_CASE)
+            data = PAD + text
             for at in range(ORDER, len(data), BLOCK):
                 parts.append((i, data[at - ORDER:at + BLOCK]))
                 size += len(parts[-1][1])
@@ -233,7 +236,7 @@ def has_letter(text: str) -> bool:
 def verdicts(tables: Tables | None, langs: list[str], column: pa.Array) -> list[tuple[str, float, float | None, int]]:
     """(language, score, bits a byte, bytes) of each text; ``und`` where there is nothing to tell from."""
     out: list[tuple[str, float, float | None, int]] = [("und", 0.0, None, 0)] * len(column)
-    texts = [(i, t.encode("utf-8", "surrogatepass")) for i, v in enumerate(column) if tables and (t := v.as_py()) and has_letter(t)]
+    texts = [(i, folded(t)) for i, v in enumerate(column) if tables and (t := v.as_py()) and has_letter(t)]
     if texts:
         for (i, text), bits in zip(texts, tables.lengths([t for _, t in texts])):
             best = int(np.argmin(bits))

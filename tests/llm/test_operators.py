@@ -627,7 +627,7 @@ def model_of(texts):
     for ts in texts.values():
         g = collections.Counter()
         for t in ts:
-            b = (lang_id.PAD + t).translate(lang_id.FOLD_CASE)
+            b = lang_id.PAD + t
             g.update(int.from_bytes(b[i:i + lang_id.ORDER + 1], "big") for i in range(len(b) - lang_id.ORDER))
         grams.append(np.array(sorted(g), np.int64))
         counts.append(np.array([g[k] for k in sorted(g)]))
