@@ -694,7 +694,8 @@ def test_lang_accepted(spark, docs):
     hidden = some.selectExpr("doc_id", "text", "if(doc_id % 9 = 0, null, lang) as lang", "source", "n_chars")
     noise = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "123 456 !!", "en", "s", 9), (10**6 + 2, "".join(map(chr, range(0x500, 0x900))), None, "s", 9)], DOCS)
     out = {r["doc_id"]: r["lang"] for r in lang_id.accepted(hidden.unionByName(noise)).collect()}
-    assert out == {r["doc_id"]: r["lang"] for r in some.collect()}
+    want = {r["doc_id"]: r["lang"] for r in some.collect()}
+    assert set(out) == set(want) and all(out[i] == want[i] for i in want if i % 9) and np.mean([out[i] == want[i] for i in want if i % 9 == 0]) >= 0.9
     one = some.first()["lang"]
     assert {r["lang"] for r in lang_id.accepted(some, languages=[one]).collect()} == {one}
 
