@@ -339,6 +339,9 @@ def _js_exports(text: str, plain: str, lay: Layout) -> list[dict]:
 _RUBY = re.compile(r"^[ \t]*(?:(?P<type>class|module)\s+(?P<name>[A-Z][\w:]*)(?:\s*<\s*(?P<parent>[\w:]+))?|(?P<singleton>class\s*<<)|(?P<def>def)\s+(?P<self>self\.)?(?P<method>[\w?!=\[\]+\-*/<>]+)[ \t]*(?P<params>\([^)]*\))?|(?P<open>(?:if|unless|while|until|case|begin|for)\b))|(?P<do>\bdo\b(?:\s*\|[^|]*\|)?[ \t]*$)|(?P<assign>=[ \t]*(?:if|case|begin|unless)\b)|(?P<end>^[ \t]*end\b)|(?P<private>^[ \t]*(?:private|protected|public)[ \t]*$)", re.MULTILINE)
 
 
+_ENDLESS = re.compile(r"[ \t]*=[^=~]")
+
+
 def ruby(text: str) -> dict[str, list]:
     out, plain = empty(), blanked(text, "ruby")
     lay = Layout("")
@@ -368,7 +371,7 @@ def ruby(text: str) -> dict[str, list]:
             elif owner is None:
                 row = common | {"is_exported": True}
                 out["functions"].append(row)
-            endless = re.match(r"[ \t]*=[^=~]", plain[m.end():m.end() + 40])
+            endless = _ENDLESS.match(plain, m.end())
             if not endless and not re.search(r";\s*end\b", plain[m.end():plain.find("\n", m.end()) if "\n" in plain[m.end():] else None]):
                 stack.append(("def", row))
         else:

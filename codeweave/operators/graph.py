@@ -181,9 +181,11 @@ def capture_incoming(edges: DataFrame, touched: DataFrame) -> DataFrame:
 def restore_edges(captured: DataFrame, tables: dict[str, DataFrame], rewritten: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges between vertices that exist again, and ``restored, dropped`` counts of the captured records.
 
-    Records whose source file is in ``rewritten(path)`` are skipped: its edges have been made afresh.
+    Records whose source file is in ``rewritten(path)`` are skipped: its edges have been made afresh. Equal records are one with a
+    count, so counts don't depend on which task saw which row.
     """
-    rows = captured.join(rewritten.select("path"), captured["src_file"] == F.col("path"), "left_anti").withColumn("__id", F.monotonically_increasing_id())
+    record = ["type", "src_file", "src_name", "dst_file", "dst_name"]
+    rows = captured.join(rewritten.select("path"), captured["src_file"] == F.col("path"), "left_anti").groupBy(*record).agg(F.count(F.lit(1)).alias("__n"))
     key = lambda kind, t: t.select(F.lit(kind).alias("__k"), F.col("file_path").alias("__f"), F.col("name").alias("__n"), element_key(kind, F.col("file_path"), F.col("name"), F.col("line")).alias("__v"))
     files = tables["File"].select(F.lit("File").alias("__k"), F.col("path").alias("__f"), F.lit("").alias("__n"), F.col("path").alias("__v"))
     ends = union([files, key("Class", tables["Class"]), key("Interface", tables["Interface"])])
@@ -193,6 +195,6 @@ def restore_edges(captured: DataFrame, tables: dict[str, DataFrame], rewritten:
     tied = (rows.join(s, (src_kind == F.col("sk")) & (F.col("src_file") == F.col("sf")) & (F.coalesce("src_name", F.lit("")) == F.col("sn")), "left")
             .join(d, (dst_kind == F.col("dk")) & (F.col("dst_file") == F.col("df")) & (F.coalesce("dst_name", F.lit("")) == F.col("dn")), "left"))
     done = F.col("src").isNotNull() & F.col("dst").isNotNull()
-    each = tied.groupBy("__id").agg(F.max(done.cast("int")).alias("ok"))
-    return (tied.filter(done).select(F.col("type").alias("etype"), "src", "dst"),
-            each.agg(F.count_if(F.col("ok") == 1).alias("restored"), F.count_if(F.col("ok") == 0).alias("dropped")))
+    each = tied.groupBy(*record, "__n").agg(F.max(done.cast("int")).alias("ok"))
+    total = lambda ok: F.coalesce(F.sum(F.when(F.col("ok") == ok, F.col("__n"))), F.lit(0))
+    return (tied.filter(done).select(F.col("type").alias("etype"), "src", "dst"), each.agg(total(1).alias("restored"), total(0).alias("dropped")))

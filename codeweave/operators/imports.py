@@ -24,10 +24,14 @@ def python(tree: ast.AST) -> list[dict]:
     return sorted(out, key=lambda r: r["line"])
 
 
+_CLAUSE = re.compile(r"\s*(?:type\s+)?(?:([^'\";()]*?)\bfrom\s*)?(['\"])(.*?)\2", re.DOTALL)
+_QUOTED = re.compile(r"\s*(['\"])(.*?)\1")
+
+
 def js(text: str, plain: str, lay: Layout) -> list[dict]:
     out, seen = [], set()
     for m in re.finditer(r"\bimport\b(?!\s*\()", plain):
-        s = re.match(r"\s*(?:type\s+)?(?:([^'\";()]*?)\bfrom\s*)?(['\"])(.*?)\2", text[m.end():m.end() + 5000], re.DOTALL)
+        s = _CLAUSE.match(text, m.end())
         if not s:
             continue
         clause, names = s[1] or "", []
@@ -37,7 +41,7 @@ def js(text: str, plain: str, lay: Layout) -> list[dict]:
             names += [x for part in inner[1].split(",") if (x := re.sub(r"^\s*type\s+", "", part).split(" as ")[0].strip())]
         out.append(row(s[3], names, lay.line(m.start())))
     for m in re.finditer(r"(?:\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*)?\brequire\s*\(", plain):
-        s = re.match(r"\s*(['\"])(.*?)\1", text[m.end():m.end() + 1000])
+        s = _QUOTED.match(text, m.end())
         if s and s[2] not in seen:
             seen.add(s[2])
             bound = m[1] or ""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import shutil
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeweave.operators import diff, extract, graph, resolve
 from codeweave.sources import repository, tree
-from codeweave.sources.store import GraphStore, settle
+from codeweave.sources.store import GraphStore, scratch, settle
 
 
 FILES_A_TASK = 200
@@ -53,12 +54,14 @@ def resolved_records(parsed: DataFrame, universe: DataFrame, aliases: dict[str,
 
 
 def parse(spark: SparkSession, store: GraphStore, repo: str, project: str | None = None, clean: bool = True, incremental: bool = False, changed_files: list[str] | None = None,
-          removed_files: list[str] | None = None, config: tree.Discovery | None = None, trigger: str = "manual", alias_mode: str = "tree", progress: Callable[[str], None] | None = None, token: str | None = None) -> dict:
+          removed_files: list[str] | None = None, config: tree.Discovery | None = None, trigger: str = "manual", alias_mode: str = "tree", progress: Callable[[str], None] | None = None, token: str | None = None,
+          ship: bool | None = None) -> dict:
     """Parse ``repo`` (a folder or an address) into the graph of ``project``.
 
     Incremental parses take the given changes or derive them from the stored commit; without a known base they fall back to a
     full parse. Unchanged files' outgoing edges are not looked at again. The diff is reported and logged, and never fails a
-    parse. ``incremental`` with an explicit ``clean`` of an existing graph is a contradiction and is refused by ``clean=True, incremental=True``.
+    parse. ``ship`` sends contents through the shared folder instead of opening them in the tasks; by default where a cluster parses a copy.
+    ``incremental`` with an explicit ``clean`` of an existing graph is a contradiction and is refused by ``clean=True, incremental=True``.
     """
     if incremental and clean:
         raise ValueError("an incremental parse keeps the graph: pass clean=False")
@@ -70,13 +73,15 @@ def parse(spark: SparkSession, store: GraphStore, repo: str, project: str | None
         if root is None:
             return {"status": "failed", "project": project, "error": "could not fetch the repository"}
         try:
-            return _parse(spark, store, repo, root, project, incremental, changed_files, removed_files, config, trigger, alias_mode, say)
+            # a copy lies in the driver's own folder, which executors of a cluster don't see
+            shipped = not local and not spark.sparkContext.master.startswith("local") if ship is None else ship
+            return _parse(spark, store, repo, root, project, incremental, changed_files, removed_files, config, trigger, alias_mode, say, shipped)
         finally:
             if not local:
                 shutil.rmtree(root, ignore_errors=True)
 
 
-def _parse(spark, store, repo, root, project, incremental, changed_files, removed_files, config, trigger, alias_mode, say) -> dict:
+def _parse(spark, store, repo, root, project, incremental, changed_files, removed_files, config, trigger, alias_mode, say, shipped) -> dict:
     head, now = repository.head_sha(root), dt.datetime.now(dt.timezone.utc).isoformat()
     had = store.version(project) is not None
     changed = removed = None
@@ -103,7 +108,8 @@ def _parse(spark, store, repo, root, project, incremental, changed_files, remove
     wanted = files.join(F.broadcast(_paths(spark, changed)), "path", "left_semi") if incremental else files  # a commit's list, held by the driver already
     # the listing is small and would sit in few partitions; parsing is the work, so it is dealt out by path
     tasks = max(spark.sparkContext.defaultParallelism, wanted.count() // FILES_A_TASK)
-    parsed = settle(extract.extract(tree.parse_mode(tree.read_files(wanted.repartition(tasks, "path"), root))), "parsed")
+    contents = tree.ship(wanted, root, f"{scratch(spark)}/codeweave/contents-{uuid.uuid4().hex}") if shipped else None
+    parsed = settle(extract.extract(tree.parse_mode(tree.read_files(wanted.repartition(tasks, "path"), root, contents))), "parsed")
     ok = parsed.filter("mode <> 'failed'")
     failed = [r["path"] for r in parsed.filter("mode = 'failed'").select("path").collect()] if incremental else []
     symbols = store.class_symbols(project, ok.select("path")) if incremental else None

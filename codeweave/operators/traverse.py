@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -20,13 +21,18 @@ def step(start: DataFrame, edges: DataFrame, direction: str = "out") -> DataFram
     return start.select("v").join(way, "v").select(F.col("to").alias("v"))
 
 
-def khop(start: DataFrame, edges: DataFrame, hops: int, direction: str = "out") -> DataFrame:
-    """``v, hop``: vertices reached within ``hops`` edges, with the least number of edges; the start has 0."""
-    seen = start.select("v").distinct().withColumn("hop", F.lit(0))
+def khop(start: DataFrame, edges: DataFrame, hops: int, direction: str = "out", settle: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """``v, hop``: vertices reached within ``hops`` edges, with the least number of edges; the start has 0.
+
+    ``settle`` writes each hop's vertices to shared storage, so that a hop is computed once and not again by every later one.
+    """
+    rings = [settle(start.select("v").distinct().withColumn("hop", F.lit(0)), "ring")]
     for k in range(1, hops + 1):
-        new = step(seen.filter(F.col("hop") == k - 1), edges, direction).distinct().join(seen, "v", "left_anti").withColumn("hop", F.lit(k))
-        seen = seen.unionByName(new)
-    return seen
+        new = step(rings[-1], edges, direction).distinct()
+        for ring in rings:
+            new = new.join(ring.select("v"), "v", "left_anti")
+        rings.append(settle(new.withColumn("hop", F.lit(k)), "ring"))
+    return functools.reduce(DataFrame.unionByName, rings)
 
 
 def closure(start: DataFrame, edges: DataFrame, settle: Callable[[DataFrame, str], DataFrame], direction: str = "out", max_rounds: int = 1000) -> DataFrame:

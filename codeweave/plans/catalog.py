@@ -11,6 +11,7 @@ from codeweave.functions import identity as ident
 from codeweave.functions import paths, registry
 from codeweave.operators import diff, graph, linker, resolve, traverse
 from codeweave.plans.fixture import Fixture, table
+from codeweave.sources.store import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -425,19 +426,19 @@ def delete_files(x: Fixture) -> DataFrame:
 
 # Traversal (T6, T11) -------------------------------------------------------------------------------------------------
 
-@query("traverse_1hop", _with("places cfiles sfiles imps", "select src as path, count(*)::bigint as n from imps join sfiles on path = dst where s_suppkey <= 5 group by 1"))
+@query("traverse_1hop", _with("places cfiles sfiles imps", "select src as path, count(*)::bigint as n from imps group by 1"))
 def traverse_1hop(x: Fixture) -> DataFrame:
-    start = x.supplier_files().filter("s_suppkey <= 5").select(F.col("path").alias("v"))
+    start = x.supplier_files().select(F.col("path").alias("v"))
     return traverse.step(start, graph.imports(x.files(), x.imports()), "in").groupBy(F.col("v").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("traverse_khop", _with("places cfiles sfiles imps", """
-    , h0 as (select path as v from cfiles where c_custkey <= 2), h1 as (select distinct dst as v from imps join h0 on src = v),
+    , h0 as (select path as v from cfiles where starts_with(path, 'AFRICA/')), h1 as (select distinct dst as v from imps join h0 on src = v),
     h2 as (select distinct src as v from imps join h1 on dst = v where src not in (select v from h0)) select hop::integer as hop, count(*)::bigint as n from
     (select 0 as hop from h0 union all select 1 from h1 union all select 2 from h2) group by hop""").replace("l_suppkey = s_suppkey)\n\n    ,", "l_suppkey = s_suppkey),"))
 def traverse_khop(x: Fixture) -> DataFrame:
-    start = x.customer_files().filter("c_custkey <= 2").select(F.col("path").alias("v"))
-    return traverse.khop(start, graph.imports(x.files(), x.imports()), 2, "both").groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
+    start = x.customer_files().filter("startswith(path, 'AFRICA/')").select(F.col("path").alias("v"))
+    return traverse.khop(start, settle(graph.imports(x.files(), x.imports()), "edges"), 2, "both", settle).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("containment_closure", _with("places cfiles sfiles files", "select folder as ancestor, count(*)::bigint as n from files group by 1 union all select split_part(folder, '/', 1), count(*) from files group by 1"))
@@ -448,13 +449,14 @@ def containment_closure(x: Fixture) -> DataFrame:
 @query("inherits_transitive", _with("classes resolved", """
     , e as (select distinct 'Class' || chr(9) || r.file_path || chr(9) || r.name || chr(9) || r.line as src, 'Class' || chr(9) || t.file_path || chr(9) || t.name || chr(9) || t.line as dst
       from resolved r join classes t on t.file_path = r.parent_file and t.name = r.parent_name where r.confidence <> 'unresolved'),
-    z as (with recursive w as (select 'Class' || chr(9) || file_path || chr(9) || name || chr(9) || line as v from classes where p_partkey % 40 = 0 and p_partkey <= 200 union select e.src from e join w on e.dst = w.v) select v from w)
+    tops as (select 'Class' || chr(9) || file_path || chr(9) || name || chr(9) || line as v from classes except select src from e),
+    z as (with recursive w as (select v from tops union select e.src from e join w on e.dst = w.v) select v from w)
     select v from z""").replace("and h.rn = 1)\n\n    ,", "and h.rn = 1),"))
 def inherits_transitive(x: Fixture) -> DataFrame:
-    from codeweave.sources.store import settle
-
-    start = x.classes().filter("line % 40 = 0 and line <= 200").select(graph.element_key("Class", F.col("file_path"), F.col("name"), F.col("line")).alias("v"))
-    return traverse.closure(start, settle(graph.inherits(x.classes(), _inheritance(x)), "edges"), settle, "in").select("v")
+    edges = settle(graph.inherits(x.classes(), _inheritance(x)), "edges")
+    every = x.classes().select(graph.element_key("Class", F.col("file_path"), F.col("name"), F.col("line")).alias("v"))
+    tops = every.join(edges.select(F.col("src").alias("v")), "v", "left_anti")  # classes that inherit from none that is known
+    return traverse.closure(tops, edges, settle, "in").select("v")
 
 
 # Links (R22) ---------------------------------------------------------------------------------------------------------

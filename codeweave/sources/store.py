@@ -1,9 +1,10 @@
 """Versioned snapshots of project graphs, the project catalog, provenance and the diff log.
 
-Layout under a root folder that executors share: ``<project>/v=<n>/<table>`` as Parquet, ``<project>/_CURRENT`` naming the version that
-readers see, ``_difflog`` as one append-only table beside the projects. A snapshot is written whole and then made current by
-replacing the pointer, so readers never see half a rewrite and a failed write changes nothing. Small files go through
-Hadoop's FileSystem, so any store that Spark reads will do.
+Layout under a root folder that executors share: ``<project>/v=<n>/<table>`` as Parquet, an empty file ``<project>/_CURRENT.<n>`` for each finished
+version, the greatest of which readers see, ``_difflog`` as one append-only table beside the projects. A snapshot is written whole and then made current by
+adding its file; nothing is replaced, so there is no moment without a current version, readers never see half a rewrite, and a failed write changes nothing. Small
+files go through Hadoop's FileSystem, so any store that Spark reads will do. A lock names the time it was taken; one that is older than LOCK_HOURS was left by a
+job that died, and is taken over.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +22,11 @@ from codeweave.operators import graph
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the session has it; one of our own only where it is unset."""
+    """The shared folder for intermediate tables, as the session has it; one of our own only where it is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="codeweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +39,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+LOCK_HOURS = 12
+
+
 class Busy(RuntimeError):
     """Another job holds the project."""
 
@@ -64,10 +71,10 @@ class GraphStore:
         finally:
             out.close()
 
-    def _list(self, path: str) -> list[str]:
+    def _list(self, path: str, folders: bool = True) -> list[str]:
         if not self.fs.exists(self._path(path)):
             return []
-        return [s.getPath().getName() for s in self.fs.listStatus(self._path(path)) if s.isDirectory()]
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(path)) if s.isDirectory() == folders]
 
     # catalog --------------------------------------------------------------------------------------------------------
 
@@ -83,8 +90,8 @@ class GraphStore:
         self.fs.delete(self._path(f"{self.root}/{self.name_of(project)}"), True)
 
     def version(self, project: str) -> int | None:
-        text = self._read(f"{self.root}/{self.name_of(project)}/_CURRENT")
-        return int(text) if text else None
+        marks = [n.rpartition(".")[2] for n in self._list(f"{self.root}/{self.name_of(project)}", False) if n.startswith("_CURRENT.")]
+        return max((int(n) for n in marks if n.isdecimal()), default=None)
 
     # snapshots ------------------------------------------------------------------------------------------------------
 
@@ -99,11 +106,7 @@ class GraphStore:
             if df is None:
                 df = self.spark.createDataFrame([], graph.SCHEMAS[table])
             (df.write.partitionBy("etype") if table == "edges" else df.write).parquet(f"{base}/{table}")
-        pointer = f"{self.root}/{name}/_CURRENT"
-        self._write(f"{pointer}.{n}", str(n))
-        self.fs.delete(self._path(pointer), False)
-        if not self.fs.rename(self._path(f"{pointer}.{n}"), self._path(pointer)):
-            raise OSError(f"could not make version {n} of {name} current")
+        self._write(f"{self.root}/{name}/_CURRENT.{n}", "")
         return n
 
     def read(self, project: str, table: str, version: int | None = None) -> DataFrame:
@@ -120,6 +123,7 @@ class GraphStore:
         now = self.version(project) or 0
         for v in self._list(f"{self.root}/{self.name_of(project)}"):
             if v.startswith("v=") and int(v[2:]) <= now - keep:
+                self.fs.delete(self._path(f"{self.root}/{self.name_of(project)}/_CURRENT.{v[2:]}"), False)
                 self.fs.delete(self._path(f"{self.root}/{self.name_of(project)}/{v}"), True)
 
     # reads that an incremental parse needs ----------------------------------------------------------------------------
@@ -184,8 +188,11 @@ class GraphStore:
             def __enter__(self):
                 from py4j.protocol import Py4JJavaError
 
+                held = store._read(path)
+                if held is not None and (not held or time.time() - float(held) > LOCK_HOURS * 3600):
+                    store.fs.delete(store._path(path), False)
                 try:
-                    store._write(path, uuid.uuid4().hex, new_only=True)
+                    store._write(path, str(time.time()), new_only=True)
                 except Py4JJavaError as e:
                     raise Busy(f"{project} is being parsed") from e
 

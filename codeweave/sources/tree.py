@@ -1,7 +1,8 @@
 """Source trees as tables: listing with the discovery rules, and reading on the executors.
 
 Spark's own file sources hide names that begin with ``_`` or ``.``, so the tree is walked on the driver, where only paths and
-sizes are held; contents are opened by the tasks (``mapInPandas``), or shipped from the driver where executors do not see the tree.
+sizes are held; contents are opened by the tasks (``mapInPandas``), or, where executors do not see the tree (a copy in the driver's own folder), shipped
+from the driver through the shared folder, a batch of at most SHIP_BYTES a time (:func:`ship`).
 """
 
 from __future__ import annotations
@@ -74,8 +75,41 @@ def discover(spark: SparkSession, root: str, config: Discovery | None = None) ->
     return taken.select("path", "bytes", "parse_order", "language"), listed.filter("verdict = 'oversize' and language is not null").select("path", "bytes")
 
 
-def read_files(files: DataFrame, root: str) -> DataFrame:
-    """``path, language, parse_order, content`` with bytes that are not UTF-8 left out; opened by the tasks."""
+SHIP_BYTES = 64 << 20
+
+
+def ship(files: DataFrame, root: str, folder: str) -> DataFrame:
+    """``path, content`` of ``files(path, bytes)`` as a table in the shared ``folder``, written by the driver in batches; a file that can't be read has no content."""
+    spark, batch, size = files.sparkSession, [], 0
+
+    def write() -> None:
+        spark.createDataFrame(batch, "path string, content binary").write.mode("append").parquet(folder)
+
+    for r in files.select("path").toLocalIterator():
+        try:
+            with open(os.path.join(root, r["path"]), "rb") as f:
+                data = f.read()
+        except OSError:
+            data = None
+        batch.append((r["path"], bytearray(data) if data is not None else None))
+        size += len(data or b"") + 100
+        if size > SHIP_BYTES:
+            write()
+            batch, size = [], 0
+    write()
+    return spark.read.schema("path string, content binary").parquet(folder)
+
+
+def read_files(files: DataFrame, root: str, shipped: DataFrame | None = None) -> DataFrame:
+    """``path, language, parse_order, content`` with bytes that are not UTF-8 left out; opened by the tasks, or taken from ``shipped(path, content)``."""
+    if shipped is not None:
+        def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame.assign(content=[None if c is None else bytes(c).decode("utf-8", "ignore") for c in frame["content"]])
+
+        rows = files.select("path", "language", "parse_order").join(shipped, "path", "left").select("path", "language", "parse_order", "content")
+        return rows.mapInPandas(decode, "path string, language string, parse_order long, content string")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = []

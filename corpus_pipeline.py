@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's documents, so a lost
 executor costs at most part of one stage. Every stage works on all rows that its predecessor kept.
 
-The near-dedup stage keeps the contract of its operator (three-word shingles, two or fewer differing bits). The mixing stage
+The language stage lets documents go that are text of no learned language, and fills in a ``lang`` that is null. The near-dedup stage takes five-word
+shingles and a similarity of 0.8 or more; of a group the document with the least id stays. The mixing stage
 lets documents go whose rate is under one half (those of the toxic domain, whose weight is 0), keeps all others at least once
 and repeats those of domains that are rarer than their weight. The last stage returns ``doc_id`` and token figures.
 """
