@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweave.functions import identity as ident
 from codeweave.functions import paths, registry
-from codeweave.operators import diff, graph, linker, resolve, traverse
+from codeweave.operators import diff, graph, incremental, linker, resolve, traverse
 from codeweave.plans.fixture import Fixture, table
 from codeweave.sources.store import settle
 
@@ -402,7 +402,7 @@ def restore_counts(x: Fixture) -> DataFrame:
 def touched_set(x: Fixture) -> DataFrame:
     c = x.customer_files()
     changed, parsed, removed = (c.filter(f"c_custkey % {k} = 0").select("path") for k in (3, 2, 11))
-    return changed.intersect(parsed).union(removed).distinct()
+    return incremental.touched_files(changed, parsed, removed)
 
 
 @query("incremental_rewrite", _with("places cfiles funcs", """select 'function:' || file_path || ':' || name as anchor_key, params from funcs join cfiles on path = file_path where c_custkey % 4 <> 0
@@ -410,7 +410,8 @@ def touched_set(x: Fixture) -> DataFrame:
 def incremental_rewrite(x: Fixture) -> DataFrame:
     touched = x.customer_files().filter("c_custkey % 4 = 0").select("path")
     old = graph.function_vertices(x.functions())
-    kept = old.join(touched, old["file_path"] == touched["path"], "left_anti")
+    none = {t: old.limit(0) for t in graph.ELEMENTS}
+    kept = graph.delete_files({**none, "Function": old, "File": graph.file_vertices(x.files()), "edges": graph.imports(x.files(), x.imports())}, touched)["Function"]
     fresh = graph.function_vertices(x.functions().filter("o_orderkey % 2 = 0").withColumn("params", F.lit("fresh"))).join(touched, F.col("file_path") == F.col("path"), "left_semi")
     return kept.unionByName(fresh).select("anchor_key", "params")
 
@@ -502,23 +503,6 @@ def dependencies(x: Fixture) -> DataFrame:
     return linker.dependencies(linker.link_targets(_links(x), _link_files(x)), "src/NATION_3.ts")
 
 
-# Text (X analogue, S7, T5) and events (S19) --------------------------------------------------------------------------
-
-@query("html_imports", """select page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as href from pages""")
-def html_imports(x: Fixture) -> DataFrame:
-    return x.t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
-
-
-@query("diff_log_tail", "select event_type as project, event_id, props as summary from events order by ts desc, event_id desc limit 50")
-def diff_log_tail(x: Fixture) -> DataFrame:
-    return x.t("events").select(F.col("event_type").alias("project"), "event_id", F.col("props").alias("summary"), "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).drop("ts")
-
-
-@query("trigger_batches", "select event_type as project, date_trunc('hour', ts) as batch, count(*)::bigint as notices, count(distinct user_id)::bigint as files from events group by 1, 2")
-def trigger_batches(x: Fixture) -> DataFrame:
-    return x.t("events").groupBy(F.col("event_type").alias("project"), F.date_trunc("hour", "ts").alias("batch")).agg(F.count(F.lit(1)).alias("notices"), F.countDistinct("user_id").alias("files"))
-
-
 # Text fields (P9-P11, P13, P15, P16) ---------------------------------------------------------------------------------
 
 def _quote(v) -> str:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codeweave.plans import catalog
+from codeweave.plans import catalog, state  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -163,3 +163,61 @@ def test_hook_and_stream(spark, tmp_path):
 
 def test_names():
     assert GraphStore.name_of("a b/ç") == "a_b__" and GraphStore.name_of("") == "default" and len(GraphStore.name_of("x" * 99)) == 64
+
+
+def test_long_import_clause(spark):
+    """A clause of 10,000 characters is read whole."""
+    from codeweave.operators import imports
+    from codeweave.operators.extract import Layout
+
+    names = [f"name_{i:05d}" for i in range(1000)]
+    text = "import {\n  " + ",\n  ".join(names) + "\n} from './all';\nconst x = require(" + " " * 3000 + "'other');\n"
+    got = imports.js(text, text, Layout(text))
+    assert [(r["source"], len(r["names"])) for r in got] == [("./all", 1000), ("other", 1)]
+
+
+def test_versions_are_added_and_locks_expire(spark, tmp_path):
+    from codeweave.sources import store
+
+    st = store.GraphStore(spark, f"file://{tmp_path}/graphs")
+    files = spark.createDataFrame([("a.py", "a.py", "a.py", "python", "", None)], "path string, file_path string, name string, language string, domain string, summary string")
+    assert st.version("p") is None and st.write("p", {"File": files}) == 1 and st.write("p", {}) == 2
+    # a version that was begun and never finished is not seen, and its number is not used again
+    (tmp_path / "graphs/p/v=3").mkdir()
+    assert st.version("p") == 2 and st.read("p", "File", 1).count() == 1 and st.write("p", {"File": files}) == 4
+    st.vacuum("p", 1)
+    assert st.version("p") == 4 and not (tmp_path / "graphs/p/v=1").exists()
+    with st.lock("p"), pytest.raises(store.Busy), st.lock("p"):
+        pass
+    (tmp_path / "graphs/p/_LOCK").write_text("1.0")
+    (tmp_path / "graphs/p/._LOCK.crc").unlink(missing_ok=True)
+    with st.lock("p"):
+        pass
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from codeweave.sources.store import scratch
+
+    session = N(conf=N(get=lambda *_: None), sparkContext=N(getConf=lambda: N(get=lambda *_: None), master="spark://somewhere"))
+    with pytest.raises(RuntimeError):
+        scratch(session)
+
+
+def test_contents_are_shipped_in_batches(spark, tmp_path, monkeypatch):
+    """As on executors that can't see the tree: the folder is gone before anything is read."""
+    import shutil
+
+    from codeweave.sources import tree
+
+    monkeypatch.setattr(tree, "SHIP_BYTES", 300)
+    for i in range(9):
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / f"t/f{i}.py").write_bytes(b"x = 1\n" * 30 + b"\xff")
+    files, _ = tree.discover(spark, str(tmp_path / "t"))
+    files = spark.createDataFrame([*map(tuple, files.collect()), ("gone.py", 1, 99, "python")], files.schema)
+    table = tree.ship(files, str(tmp_path / "t"), f"file://{tmp_path}/shipped")
+    shutil.rmtree(tmp_path / "t")
+    got = {r["path"]: r["content"] for r in tree.read_files(files, str(tmp_path / "t"), table).collect()}
+    assert len(got) == 10 and got["gone.py"] is None and got["f3.py"] == "x = 1\n" * 30
