@@ -7,18 +7,20 @@ gives every entry's approximate cosine by lookups. Every entry keeps the length
 exact cosine can lie from the approximate one; all entries whose upper bound reaches the best exact cosines found so far are reranked
 by the exact cosine of the original vectors in double precision, so the answer over the probed cells is exact, ties included.
 
-Training uses a bounded sample: at most SAMPLE vectors in expectation, chosen by a hash of the vector. Every row is indexed. The number of
-cells follows the square root of the number of rows, so a cell stays small as data grow. How many cells a query looks
+Training uses a bounded sample, chosen by a hash of the vector: SAMPLE vectors in expectation, or PER_CELL for each cell if that is more, at most MOST. Every row is
+indexed. The number of cells follows the square root of the number of rows up to MOST / PER_CELL cells (1.7e10 rows); many cells are trained in two levels. How many cells a query looks
 into is measured, not assumed: on the sample, against brute force, the least number whose cells hold TARGET of all true
 neighbours is taken. Clustered vectors need few cells; directionless ones need many, and get them.
 
 Distribution. Equal vectors are collapsed to one entry with the few least ids that any answer can need. Index entries
 and queries meet by cell in blocks of entries, so a crowded cell is dealt out over many tasks; each block returns its few
-best for each query and a last aggregation merges them.
+best for each query and a last aggregation merges them. Entries keep their vectors, as bytes of the precision they came in: with one query in fifty rows,
+fetching the vectors of a shortlist of R for each would move the table R / 50 times.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or
-non-finite components take no part, neither as query nor as candidate; equal scores go to the lesser id; repeated ids: each
-row is a candidate, except those of the query's own id; queries with fewer candidates get them all; an empty table gives an
+non-finite components take no part, neither as query nor as candidate; components of any finite size are scaled by a power of two before they are squared;
+equal scores go to the lesser id; rows that repeat an id and its vector are one candidate, other vectors of one id are candidates of their own, except those of the query's own
+id; queries with fewer candidates get them all; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from codeweave.llm.common import settle
 
 SAMPLE, PARTS, CODEWORDS, ROUNDS, FIRST, TARGET, TRIALS = 20_000, 16, 256, 12, 200, 0.97, 256
+#: Sampled vectors a cell, the largest sample, and cells that are trained at once.
+PER_CELL, MOST, FLAT = 8, 1 << 20, 2048
 #: Room for rounding in comparisons of a bound with an exact cosine.
 ROUNDING = 1e-9
 #: Index entries and queries that meet in one task, at most on average.
@@ -47,7 +51,13 @@ class Index(NamedTuple):
     words: np.ndarray     # parts x codewords x (dim / parts)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -70,6 +80,16 @@ def assign(x: np.ndarray, c: np.ndarray, spherical: bool, rows: int = 2048) -> n
     return np.concatenate([np.argmax(x[i:i + rows] @ c.T - off, axis=1) for i in range(0, len(x), rows)] or [np.empty(0, np.int64)])
 
 
+def centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k spherical centroids; more than FLAT in two levels: a few, and in each one's part its share of them."""
+    if k <= FLAT:
+        return kmeans(x, k, rng, True)
+    top = kmeans(x[rng.choice(len(x), min(len(x), SAMPLE), replace=False)], int(k ** 0.5), rng, True)
+    near = assign(x, top, True)
+    parts = [x[near == i] for i in range(len(top))]
+    return np.concatenate([centroids(p, max(1, min(len(p), round(k * len(p) / len(x)))), rng) for p in parts if len(p)])
+
+
 def parts_of(dim: int) -> int:
     return next(p for p in range(min(PARTS, dim), 0, -1) if dim % p == 0)
 
@@ -77,10 +97,11 @@ def parts_of(dim: int) -> int:
 def fit(x: np.ndarray, cells: int, seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     x = unit(x.astype(np.float64))
-    coarse = kmeans(x, min(cells, len(x)), rng, True)
-    rest = x - coarse[assign(x, coarse, True)]
+    coarse = centroids(x, min(cells, len(x)), rng)
+    some = x[rng.choice(len(x), min(len(x), SAMPLE), replace=False)]
+    rest = some - coarse[assign(some, coarse, True)]
     p = parts_of(x.shape[1])
-    k = min(CODEWORDS, len(x))
+    k = min(CODEWORDS, len(rest))
     return Index(coarse, np.stack([kmeans(s, k, rng, False) for s in np.split(rest, p, axis=1)]))
 
 
@@ -141,6 +162,8 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     """``query_id, rank, vec_id, score``: the k nearest of every row for which ``is_query`` (a Column on ``vec_id``) holds."""
     spark = table.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
+    width = np.float32 if table.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
+    blobs = lambda x: pa.array([r.tobytes() for r in x.astype(width)], pa.binary())
     rows = (table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
             .filter(F.col("vec_id").isNotNull() & _valid(F.col("v"))))
     shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
@@ -154,9 +177,10 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     entries = settle(salted.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.xxhash64("v").alias("entry"))
                      .select("entry", "v", "ids"), "vectors")
     kinds = entries.count()
-    sample = entries.filter(F.pmod(F.col("entry"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / kinds) * (1 << 20)) + 1).select("v").toArrow()
+    wanted = min(MOST, max(SAMPLE, PER_CELL * round(kinds ** 0.5)))
+    sample = entries.filter(F.pmod(F.col("entry"), F.lit(1 << 40)) <= int(min(1.0, wanted / kinds) * (1 << 40))).select("v").toArrow()
     train = _matrix(sample.column("v").combine_chunks(), dim)
-    cells = int(max(1, min(len(train) // 8 or 1, round(kinds ** 0.5))))
+    cells = int(max(1, min(len(train) // PER_CELL or 1, round(kinds ** 0.5))))
     index = fit(train, cells)
     cells = len(index.coarse)
     probes = probes_for(index, train, k)
@@ -165,13 +189,14 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = unit(_matrix(batch.column(1), dim))
+                raw = _matrix(batch.column(1), dim)
+                x = unit(raw)
                 cell, codes = encode(shipped.value, x)
                 slack = left_out(shipped.value, x, cell, codes)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(slack), *batch.columns],
-                                                 ["cell", "codes", "slack", "entry", "v", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(slack), batch.column(0), blobs(raw), batch.column(2)],
+                                                 ["cell", "codes", "slack", "entry", "x", "ids"])
 
-    listed = settle(entries.mapInArrow(index_rows, "cell int, codes binary, slack double, entry long, v array<double>, ids array<long>"), "inverted")
+    listed = settle(entries.mapInArrow(index_rows, "cell int, codes binary, slack double, entry long, x binary, ids array<long>"), "inverted")
     sizes = listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a cell, and cells grow as a square root
     held = np.zeros(cells, np.int64)
     held[sizes["cell"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
@@ -191,14 +216,15 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(-(unit(_matrix(batch.column(1), dim)) @ shipped.value.coarse.T), axis=1, kind="stable")
+            raw = _matrix(batch.column(1), dim)
+            near = np.argsort(-(unit(raw) @ shipped.value.coarse.T), axis=1, kind="stable")
             # at least ``probes`` cells, and more where those hold too few entries to answer from
             before = np.cumsum(held[near], axis=1) - held[near]
             at, place = np.nonzero((np.arange(cells) < probes)[None, :] | (before < enough))
-            yield pa.RecordBatch.from_arrays([pa.array(near[at, place].astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
+            yield pa.RecordBatch.from_arrays([pa.array(near[at, place].astype(np.int32)), batch.column(0).take(pa.array(at)), blobs(raw).take(pa.array(at))],
                                              ["cell", "query", "qv"])
 
-    probed = (kinds_asked.mapInArrow(probe_rows, "cell int, query long, qv array<double>").join(F.broadcast(blocks), "cell")
+    probed = (kinds_asked.mapInArrow(probe_rows, "cell int, query long, qv binary").join(F.broadcast(blocks), "cell")
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
               .withColumn("part", F.pmod(F.xxhash64("query"), F.lit(sets)).cast("int")))
 
@@ -207,16 +233,16 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
             return pd.DataFrame({"query": np.empty(0, np.int64), "best": np.empty(0, object)})
         ix: Index = shipped.value
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
-        x = np.stack(left["v"].to_numpy())
+        x = scaled(np.frombuffer(b"".join(left["x"]), width).astype(np.float64).reshape(len(left), dim))
         norms = np.sqrt((x * x).sum(axis=1))
         ids, slack = left["ids"].to_numpy(), left["slack"].to_numpy()
         coarse = ix.coarse[int(left["cell"].iloc[0])]
-        width = dim // len(ix.words)
+        part = dim // len(ix.words)
         queries, best = [], []
         for name, q in zip(right["query"], right["qv"]):
-            q = np.asarray(q, np.float64)
+            q = scaled(np.frombuffer(q, width).astype(np.float64)[None, :])[0]
             own = q / np.sqrt((q * q).sum())
-            table = np.einsum("pkw,pw->pk", ix.words, own.reshape(-1, width))
+            table = np.einsum("pkw,pw->pk", ix.words, own.reshape(-1, part))
             about = own @ coarse + table[np.arange(len(table)), codes].sum(axis=1)
             length = np.sqrt((q * q).sum())
             places, scores = best_of(about, slack, lambda at: (x[at] * q).sum(axis=1) / (norms[at] * length), k + 1)
