@@ -16,10 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` as the session has it.
 
-    Only where the setting is absent (tests on one machine) a local folder is made and kept in the session.
+    Only where the setting is absent and all runs in one process (tests) a local folder is made and kept in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="codeweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -10,14 +10,16 @@ corpus; every iteration is one distributed sum over it (until no share moves by
 follow from the list of those residuals, so any task can be repeated.
 
 The classifier is a softmax regression over the presence of words and word stems (the WORDS of most information) and text-shape figures, fitted
-on at most SAMPLE labelled documents in expectation, chosen by a hash of their id (the bound is a documented parameter);
-posteriors, totals, rates and copies cover all documents.
+on at most SAMPLE labelled documents in expectation, chosen by a hash of their id, one row an id (the bound is a documented parameter). Words are counted
+and chosen by the cluster; the driver gets at most WORDS places and a few figures a document, however long it is.
+Posteriors, totals, rates and copies cover all documents.
 
-The total is chosen so that no domain with a positive weight has to shrink: rarer domains are repeated instead. Copies: rates
-below one half give none; others give the rate rounded up or down by a hash of the id, at least one.
+The total is chosen so that no domain with a positive weight has to shrink: rarer domains are repeated instead. Copies: the rate, rounded up or down by a
+hash of the id so that the expectation is the rate. With ``least_one``, the default, rates of one half and more give at least one copy and smaller ones
+none, so that no document is lost by chance; :func:`totals` says what that moves. A fit that has not settled after ROUNDS steps is an error.
 
 Defined cases: null text counts as empty (no words, zero tokens); with fewer than two labelled domains every rate is 1;
-several labels of one document: toxic if any says so, good only if all do; null labels are left out; a null id is hashed like
+several labels of one document: toxic if any says so, good only if all do; several texts of one labelled id: one of them, by its hash; null labels are left out; a null id is hashed like
 any other; repeated rows are treated alike; an empty table gives an empty result; other columns pass through ``apply_mix``.
 """
 
@@ -38,7 +40,7 @@ from codeweave.llm.common import settle
 DOMAINS = ["toxic", "good", "poor"]
 #: Target weights of the domains; they are scaled to sum to one.
 TARGETS = {"toxic": 0.0, "good": 0.85, "poor": 0.15}
-SAMPLE, WORDS, STEM, GRID, PULL, ROUNDS, STEPS, RIDGE, SETTLED = 4000, 1500, 5, 200, 1e-3, 60, 500, 0.02, 2e-5
+SAMPLE, WORDS, STEM, GRID, PULL, ROUNDS, STEPS, RIDGE, SETTLED = 4000, 1500, 5, 200, 1e-3, 400, 500, 0.02, 2e-5
 _words = regex.compile(r"\p{L}+").findall
 
 
@@ -73,33 +75,22 @@ def tokens_of(text: str) -> int:
     return len(text.split())
 
 
-def fit(labels: list[str], words: list[set[str]], shapes: np.ndarray) -> Model | None:
-    """Softmax regression by accelerated gradient on a bounded sample."""
+def fit(labels: list[str], places: list[list[int]], names: list[str], shapes: np.ndarray) -> Model | None:
+    """Softmax regression by accelerated gradient on a bounded sample; ``places`` are those of its words in ``names``."""
     domains = [d for d in DOMAINS if d in set(labels)]
     if len(domains) < 2:
         return None
     y = np.array([domains.index(x) for x in labels])
     onehot = np.eye(len(domains))[y]
     n = len(y)
-    counts: dict[str, np.ndarray] = {}
-    for k, ws in zip(y, words):
-        for w in ws:
-            counts.setdefault(w, np.zeros(len(domains)))[k] += 1
-    names = sorted(w for w, c in counts.items() if c.sum() >= 3)
-    if names:
-        c = np.array([counts[w] for w in names])
-        share = onehot.mean(axis=0)
-        expect = c.sum(axis=1, keepdims=True) * share
-        gain = ((c - expect) ** 2 / np.maximum(expect, 1e-9)).sum(axis=1)
-        names = [names[i] for i in np.argsort(-gain, kind="stable")[:WORDS]]
     vocabulary = {w: i for i, w in enumerate(names)}
     mean, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-6
     x = np.zeros((n, 1 + shapes.shape[1] + len(names)), np.float32)
     onehot = onehot.astype(np.float32)
     x[:, 0] = 1
     x[:, 1:1 + shapes.shape[1]] = np.clip((shapes - mean) / scale, -5, 5)
-    for i, ws in enumerate(words):
-        x[i, [1 + shapes.shape[1] + vocabulary[w] for w in ws if w in vocabulary]] = 1
+    for i, at in enumerate(places):
+        x[i, [1 + shapes.shape[1] + k for k in at]] = 1
     w = z = np.zeros((x.shape[1], len(domains)), np.float32)
     ridge = np.full((x.shape[1], 1), RIDGE / n, np.float32)
     ridge[0] = 0
@@ -138,19 +129,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     picked = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
+    # broadcast: ids of the sample, whose size is the documented bound; one text an id, however often it comes
+    texts = rows.join(F.broadcast(picked), "label_id").groupBy("label_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [v or "" for v in batch.column(2).to_pylist()]
+            said = [v or "" for v in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())),
-                 pa.array([shape(t) for t in texts], pa.list_(pa.float64()))], ["label_id", "domain", "words", "shape"])
+                [batch.column(0), batch.column(1), pa.array([sorted(words_of(t)) for t in said], pa.list_(pa.string())),
+                 pa.array([shape(t) for t in said], pa.list_(pa.float64()))], ["label_id", "domain", "words", "shape"])
+
+    known_texts = settle(texts.mapInArrow(described, "label_id long, domain string, words array<string>, shape array<double>"), "sample")
+    sizes = {r["domain"]: r["n"] for r in known_texts.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return None
+    of = lambda d: F.count_if(F.col("domain") == d).cast("double").alias(d)
+    counts = known_texts.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*(of(d) for d in sorted(sizes)), F.count(F.lit(1)).alias("total")).filter("total >= 3")
+    expected = {d: F.col("total") * (n / sum(sizes.values())) for d, n in sizes.items()}
+    gain = sum(((F.col(d) - e) * (F.col(d) - e) / e for d, e in sorted(expected.items())), F.lit(0.0))
+    names = [r["word"] for r in counts.orderBy(gain.desc(), "word").select("word").limit(WORDS).collect()]
+    place = {w: i for i, w in enumerate(names)}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [sorted(place[w] for w in ws if w in place) for ws in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), batch.column(3)], ["label_id", "domain", "places", "shape"])
 
-    # broadcast: ids of the sample, whose size is the documented bound
-    got = (rows.join(F.broadcast(picked), "label_id").select("label_id", "domain", "text")
-           .mapInArrow(run, "label_id long, domain string, words array<string>, shape array<double>").toArrow().to_pylist())
-    got.sort(key=lambda r: (r["label_id"], r["shape"]))
-    return fit([r["domain"] for r in got], [set(r["words"]) for r in got], np.array([r["shape"] for r in got])) if got else None
+    got = known_texts.mapInArrow(placed, "label_id long, domain string, places array<int>, shape array<double>").toArrow().sort_by("label_id").to_pylist()
+    return fit([r["domain"] for r in got], [r["places"] for r in got], names, np.array([r["shape"] for r in got]))
 
 
 def posteriors(docs: DataFrame, model: Model) -> DataFrame:
@@ -217,13 +223,13 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float], r
     for _ in range(rounds):
         e = np.round((have - total * want) / total / share, 9)
         if residuals and (np.abs(e - residuals[-1]) * share).max() < SETTLED:
-            break
+            return residuals
         residuals.append(e)
         have = totals()
-    return residuals
+    raise RuntimeError(f"rates did not settle in {rounds} steps; last residuals {residuals[-1].tolist()}")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least_one: bool = True) -> DataFrame:
     """One row a document: ``doc_id, n_tokens, p_toxic, p_good, p_poor, rate, copies``."""
     model = train(docs, labels)
     if model is None:
@@ -243,9 +249,23 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(rates_of(p, shipped.value), 6))], ["doc_id", "n_tokens", "p", "rate"])
 
     u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.col("rate") + u)
+    if least_one:
+        copies = F.when(F.col("rate") < 0.5, F.lit(0)).otherwise(F.greatest(copies, F.lit(1)))
     return (scored.mapInArrow(rate, "doc_id long, n_tokens long, p array<double>, rate double")
             .select("doc_id", "n_tokens", *[(F.col("p")[domains.index(d)] if d in domains else F.lit(0.0)).alias(f"p_{d}") for d in DOMAINS], "rate",
-                    F.when(F.col("rate") < 0.5, F.lit(0)).otherwise(F.greatest(F.floor(F.col("rate") + u), F.lit(1))).cast("long").alias("copies")))
+                    copies.cast("long").alias("copies")))
+
+
+def totals(mixed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """``domain, target, fitted, realised``: shares of the domains' expected tokens, as wanted, by the rates, and by the copies."""
+    names, weights = [f"p_{d}" for d in DOMAINS], targets or TARGETS
+    want = sum(max(0.0, weights.get(d, 0.0)) for d in DOMAINS)
+    sums = mixed.agg(*(F.sum(F.col(p) * F.col("n_tokens") * F.col(by)).alias(f"{by}_{p}") for p in names for by in ("rate", "copies")))
+    whole = lambda by: sum((F.col(f"{by}_{p}") for p in names), F.lit(0.0))
+    each = [F.struct(F.lit(d).alias("domain"), F.lit(max(0.0, weights.get(d, 0.0)) / want if want else 0.0).alias("target"),
+                     (F.col(f"rate_{p}") / whole("rate")).alias("fitted"), (F.col(f"copies_{p}") / whole("copies")).alias("realised")) for d, p in zip(DOMAINS, names)]
+    return sums.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:

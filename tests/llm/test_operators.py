@@ -201,6 +201,24 @@ def test_ann_ties_copies_and_odd_vectors(spark):
     assert sorted(zip(two.query_id, two.vec_id)) == [(1, 100), (100, 1)]
 
 
+def test_ann_any_finite_size(spark):
+    """Components whose squares overflow or vanish; rows that repeat an id."""
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [-3e-308, 1e-308]), (3, [2.0, 1.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c == 0).toPandas().sort_values("rank")
+    assert list(got.vec_id) == [1, 3, 4, 4, 2] and np.allclose(got.score, [1, 3 / 10 ** 0.5, 0.5 ** 0.5, 0.5 ** 0.5, -2 / 20 ** 0.5])
+
+
+def test_ann_centroids_in_two_levels(monkeypatch):
+    """As many centroids as asked for, about as near to the vectors as those of one level."""
+    rng = np.random.default_rng(3)
+    x = ann.unit(np.repeat(rng.normal(size=(60, 8)), 30, axis=0) + 0.05 * rng.normal(size=(1800, 8)))
+    near = lambda c: np.mean((x @ c.T).max(axis=1))
+    flat = ann.centroids(x, 60, np.random.default_rng(1))
+    monkeypatch.setattr(ann, "FLAT", 16)
+    two = ann.centroids(x, 60, np.random.default_rng(1))
+    assert len(flat) == 60 and 50 <= len(two) <= 70 and near(two) > near(flat) - 0.03
+
+
 def test_ann_hot_cell(spark, monkeypatch):
     """Many near-equal vectors in one cell: codewords cannot tell them apart, the exact rerank must."""
     rng = np.random.default_rng(4)
@@ -248,12 +266,28 @@ def test_mixing_query(spark, docs, frame, odd, none):
     assert (m[m.toxic == 0].copies >= 1).all() and (m[m.toxic == 1].copies == 0).mean() > 0.9
     out = mixing.apply_mix(docs, mixing.mix(docs, labels))
     assert out.columns == docs.columns and out.count() == got.copies.sum()
+    # totals: by the rates close to the targets, by the copies not far from them; unbiased copies realise the rates
+    for least_one, near in ((True, 0.06), (False, 0.06)):
+        mixed = mixing.mix(docs, labels, least_one=least_one)
+        for r in mixing.totals(mixed).collect():
+            assert abs(r["fitted"] - r["target"]) < 0.02 and abs(r["realised"] - r["target"]) < near, r
     few = spark.createDataFrame([(1, 1, 0), (3, 0, None), (4, None, 1)], "doc_id long, quality int, toxic int")
     assert set(mixing.mix(odd, few).toPandas().rate) == {1.0} and mixing.mix(odd, few.limit(0)).count() == 10
     two = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
     assert mixing.mix(odd, two).count() == 10 and mixing.mix(none, labels).count() == 0
 
 
+def test_mixing_sample_is_bounded(spark, docs):
+    """Many rows under one labelled id are one document of the sample; a fit that does not settle is an error."""
+    many = docs.unionByName(spark.createDataFrame([(1, f"text {i} " * 30, "en", "s", 9) for i in range(3000)], DOCS))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a, b = mixing.train(docs.filter("doc_id <> 1"), labels), mixing.train(many.filter("doc_id <> 1 or text like 'text%'"), labels)
+    assert len(b.vocabulary) <= mixing.WORDS and a.domains == b.domains
+    cells = spark.createDataFrame([([0.5, 0.3, 0.2], 10.0), ([0.1, 0.1, 0.8], 5.0)], "p array<double>, n_tokens double")
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(cells, mixing.DOMAINS, {"good": 1.0}, rounds=2)
+
+
 # 4 suffix dedup ------------------------------------------------------------------------------------------------------
 
 def brute_repeats(texts):
