@@ -4,8 +4,9 @@ Method. Vectors are scaled to length one. Coarse centroids (spherical k-means) p
 vector's residual to its centroid is cut into subvectors, each replaced by the nearest of 256 (or fewer) codewords. A
 query looks into its nearest cells; an asymmetric table of inner products between its subvectors and all codewords
 gives every entry's approximate cosine by lookups. Every entry keeps the length of what its codes leave out, which bounds how far its
-exact cosine can lie from the approximate one; all entries whose upper bound reaches the best exact cosines found so far are reranked
-by the exact cosine of the original vectors in double precision, so the answer over the probed cells is exact, ties included.
+exact cosine can lie from the approximate one. A query's nearest cells give it a mark, the exact cosine of the last of its best; in all
+further cells only entries whose upper bound reaches that mark are reranked, by the exact cosine of the original vectors in double precision. So codes
+discard, and the answer over the probed cells is exact, ties included, with no limit on the entries that are reranked.
 
 Training uses a bounded sample, chosen by a hash of the vector: SAMPLE vectors in expectation, or PER_CELL for each cell if that is more, at most MOST. Every row is
 indexed. The number of cells follows the square root of the number of rows up to MOST / PER_CELL cells (1.7e10 rows); many cells are trained in two levels. How many cells a query looks
@@ -118,17 +119,16 @@ def left_out(index: Index, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -
     return np.linalg.norm(x - said, axis=1)
 
 
-def best_of(about: np.ndarray, slack: np.ndarray, exact, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of the k best entries, with all that tie with the last. ``exact`` gives the exact scores of places.
+def best_of(about: np.ndarray, slack: np.ndarray, exact, k: int, mark: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the k best entries that reach ``mark``, with all that tie with the last. ``exact`` gives the exact scores of places.
 
-    The FIRST entries by approximate score only set the mark; whatever its bound lets reach the mark is scored exactly too.
+    The FIRST entries by approximate score only raise the mark; whatever its bound lets reach the mark is scored exactly too.
     """
-    if len(about) > max(FIRST, k):
-        first = np.argpartition(-about, max(FIRST, k))[:max(FIRST, k)]
-        mark = np.partition(exact(first), -k)[-k]
-        reach = np.flatnonzero(about + slack >= mark - ROUNDING)
-    else:
-        reach = np.arange(len(about))
+    most = about + slack + ROUNDING
+    reach = np.flatnonzero(most >= mark)
+    if len(reach) > max(FIRST, k):
+        first = reach[np.argpartition(-about[reach], max(FIRST, k))[:max(FIRST, k)]]
+        reach = reach[most[reach] >= np.partition(exact(first), -k)[-k]]
     score = exact(reach)
     top = np.partition(score, -k)[-k] if len(score) > k else -np.inf
     return reach[score >= top], score[score >= top]
@@ -218,15 +218,16 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
                 continue
             raw = _matrix(batch.column(1), dim)
             near = np.argsort(-(unit(raw) @ shipped.value.coarse.T), axis=1, kind="stable")
-            # at least ``probes`` cells, and more where those hold too few entries to answer from
-            before = np.cumsum(held[near], axis=1) - held[near]
-            at, place = np.nonzero((np.arange(cells) < probes)[None, :] | (before < enough))
-            yield pa.RecordBatch.from_arrays([pa.array(near[at, place].astype(np.int32)), batch.column(0).take(pa.array(at)), blobs(raw).take(pa.array(at))],
-                                             ["cell", "query", "qv"])
+            # at least ``probes`` cells, and more where those hold too few entries to answer from; the nearest that hold enough set the mark
+            early = np.cumsum(held[near], axis=1) - held[near] < enough
+            at, place = np.nonzero((np.arange(cells) < probes)[None, :] | early)
+            yield pa.RecordBatch.from_arrays([pa.array(near[at, place].astype(np.int32)), *(c.take(pa.array(at)) for c in (batch.column(0), blobs(raw), batch.column(2))), pa.array(early[at, place])],
+                                             ["cell", "query", "qv", "mark", "early"])
 
-    probed = (kinds_asked.mapInArrow(probe_rows, "cell int, query long, qv binary").join(F.broadcast(blocks), "cell")
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-              .withColumn("part", F.pmod(F.xxhash64("query"), F.lit(sets)).cast("int")))
+    def probed(marked: DataFrame, early: bool) -> DataFrame:
+        return (marked.select("query", "v", "mark").mapInArrow(probe_rows, "cell int, query long, qv binary, mark double, early boolean").filter(F.col("early") == early)
+                .join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "early")
+                .withColumn("part", F.pmod(F.xxhash64("query"), F.lit(sets)).cast("int")))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -239,22 +240,28 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         coarse = ix.coarse[int(left["cell"].iloc[0])]
         part = dim // len(ix.words)
         queries, best = [], []
-        for name, q in zip(right["query"], right["qv"]):
+        for name, q, mark in zip(right["query"], right["qv"], right["mark"]):
             q = scaled(np.frombuffer(q, width).astype(np.float64)[None, :])[0]
             own = q / np.sqrt((q * q).sum())
             table = np.einsum("pkw,pw->pk", ix.words, own.reshape(-1, part))
             about = own @ coarse + table[np.arange(len(table)), codes].sum(axis=1)
             length = np.sqrt((q * q).sum())
-            places, scores = best_of(about, slack, lambda at: (x[at] * q).sum(axis=1) / (norms[at] * length), k + 1)
+            places, scores = best_of(about, slack, lambda at: (x[at] * q).sum(axis=1) / (norms[at] * length), k + 1, mark)
             found = [(float(-s), int(i)) for s, c in zip(scores, places) for i in ids[c]]
             queries.append(name)
             best.append([{"minus": a, "vec_id": b} for a, b in sorted(found)[:k + 1]])
         return pd.DataFrame({"query": queries, "best": best})
 
-    found = (dealt.groupBy("cell", "block", "part").cogroup(probed.groupBy("cell", "block", "part"))
-             .applyInPandas(search, "query long, best array<struct<minus double, vec_id long>>"))
-    merged = (found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
-              .join(kinds_asked, "query").select("v", "best"))
+    def meet(asking: DataFrame) -> DataFrame:
+        return (dealt.groupBy("cell", "block", "part").cogroup(asking.groupBy("cell", "block", "part"))
+                .applyInPandas(search, "query long, best array<struct<minus double, vec_id long>>"))
+
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best")
+    nearby = settle(meet(probed(kinds_asked.withColumn("mark", F.lit(float("-inf"))), True)).groupBy("query").agg(best), "nearby")
+    # the own row of a query is among its k + 1 best
+    marked = kinds_asked.join(nearby, "query").withColumn("mark", F.when(F.size("best") > k, -F.get("best", F.lit(k))["minus"]).otherwise(float("-inf")))
+    found = nearby.unionByName(meet(probed(settle(marked.drop("best"), "marked"), False)))
+    merged = found.groupBy("query").agg(best).join(kinds_asked, "query").select("v", "best")
     own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     return (asked.join(merged, "v").select("query_id", F.posexplode(own).alias("at", "b"))
             .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score")))

@@ -201,6 +201,28 @@ def test_ann_ties_copies_and_odd_vectors(spark):
     assert sorted(zip(two.query_id, two.vec_id)) == [(1, 100), (100, 1)]
 
 
+def test_ann_codes_decide_and_lose_nothing():
+    """Codes discard most of a cell of clustered vectors, and what is left holds the true best, whatever the mark."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 32)), 100, axis=0) + 0.3 * rng.normal(size=(4000, 32))
+    ix = ann.fit(x, 4)
+    u = ann.unit(x)
+    cell, codes = ann.encode(ix, u)
+    slack = ann.left_out(ix, u, cell, codes)
+    said = ix.coarse[cell] + np.concatenate([w[codes[:, p]] for p, w in enumerate(ix.words)], axis=1)
+    scored = 0
+    for q in u[::400]:
+        def exact(at):
+            nonlocal scored
+            scored += len(at)
+            return u[at] @ q
+        want = np.sort(u @ q)[-6:]
+        for mark in (-np.inf, want[0], want[3]):
+            got = np.sort(ann.best_of(said @ q, slack, exact, 6, mark)[1])
+            assert np.allclose(got[-min(6, len(got)):], want[-min(6, len(got)):]) and len(got) >= (3 if mark == want[3] else 6)
+    assert scored < 0.35 * 30 * len(x)
+
+
 def test_ann_any_finite_size(spark):
     """Components whose squares overflow or vanish; rows that repeat an id."""
     rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [-3e-308, 1e-308]), (3, [2.0, 1.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0])]
