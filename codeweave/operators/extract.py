@@ -48,12 +48,46 @@ def base(name: str) -> str:
 
 # Python --------------------------------------------------------------------------------------------------------------
 
-def python(text: str) -> dict[str, list]:
-    out = empty()
+#: A line that begins a statement of a module; closing brackets, comments and strings go on with the one before.
+_TOP = re.compile(r"^(?=[A-Za-z_@])(?!(?:else|elif|except|finally)\b)", re.MULTILINE)
+
+
+def python_tree(text: str) -> ast.Module:
+    """The syntax tree of a module; where it has errors, that of what is left without the lines they are on.
+
+    Statements of the module are parsed one by one then, so an error costs its own statement at most. In one that fails, the line of
+    the error becomes ``pass``, then empty, until the rest can be read or no further line can be given up.
+    """
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return out
+        return ast.parse(text)
+    except (ValueError, RecursionError):
+        return ast.Module([], [])
+    except SyntaxError:
+        pass
+    starts = [m.start() for m in _TOP.finditer(text)]
+    # decorators belong to what they decorate
+    starts = [0, *(x for prev, x in zip([None, *starts], starts) if x and not (prev is not None and text[prev] == "@"))]
+    body: list[ast.stmt] = []
+    for x, y in zip(starts, [*starts[1:], len(text)]):
+        lines, above = text[x:y].split("\n"), text.count("\n", 0, x)
+        while True:
+            try:
+                part = ast.parse("\n".join(lines))
+            except SyntaxError as e:
+                at = (e.lineno or 0) - 1
+                if not 0 <= at < len(lines) or not (held := lines[at].strip()):
+                    break
+                lines[at] = "" if held == "pass" else lines[at][:len(lines[at]) - len(lines[at].lstrip())] + "pass"
+            except (ValueError, RecursionError):
+                break
+            else:
+                body += [ast.increment_lineno(n, above) for n in part.body]
+                break
+    return ast.Module(body, [])
+
+
+def python(text: str) -> dict[str, list]:
+    out, tree = empty(), python_tree(text)
     lines = text.split("\n")
 
     def segment(a_line: int, a_col: int, b_line: int, b_col: int) -> str:
@@ -315,21 +349,26 @@ def _namespace(plain: str, block: int) -> bool:
     return bool(re.search(r"\b(?:namespace\b[^;{}]*|extern\s+\"[^\"]*\"\s*)$", plain[max(0, block - 200):block]))
 
 
+_EXPORT_LIST = re.compile(r"\s*(?:type\s+)?(\*(?:\s*as\s+\w+)?|\{[^}]*\})\s*(?:from\s*(['\"])(.*?)\2)?")
+_EXPORT_DEFAULT = re.compile(rf"\s*default\s+(?:(?:async\s+)?(?:function\s*\*?|class|abstract\s+class)\s+)?({_ID})?")
+_EXPORT_NAMED = re.compile(rf"\s*(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const\s+enum|function\s*\*?|class|interface|enum|type)\s+({_ID})")
+
+
 def _js_exports(text: str, plain: str, lay: Layout) -> list[dict]:
     out = []
     for m in re.finditer(r"\bexport\b", plain):
-        rest, line = text[m.end():m.end() + 4000], lay.line(m.start())
+        at, line = m.end(), lay.line(m.start())
         source = None
-        if s := re.match(r"\s*(?:type\s+)?(\*(?:\s*as\s+\w+)?|\{[^}]*\})\s*(?:from\s*(['\"])(.*?)\2)?", rest):
+        if s := _EXPORT_LIST.match(text, at):
             source = s[3]
             names = [x.split(" as ")[0].strip() for x in s[1].strip("{}").split(",") if x.strip()] if s[1].startswith("{") else []
             kind = "re-export" if source else "namespace" if s[1].startswith("*") else "named"
             if names or s[1].startswith("*"):
                 out.append({"export_type": kind, "names": names, "source": source, "line": line})
-        elif s := re.match(rf"\s*default\s+(?:(?:async\s+)?(?:function\s*\*?|class|abstract\s+class)\s+)?({_ID})?", rest):
+        elif s := _EXPORT_DEFAULT.match(text, at):
             if s[1] and s[1] not in ("function", "class", "async", "new"):
                 out.append({"export_type": "default", "names": [s[1]], "source": None, "line": line})
-        elif s := re.match(rf"\s*(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const\s+enum|function\s*\*?|class|interface|enum|type)\s+({_ID})", rest):
+        elif s := _EXPORT_NAMED.match(text, at):
             out.append({"export_type": "named", "names": [s[1]], "source": None, "line": line})
     return out
 

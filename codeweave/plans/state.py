@@ -10,6 +10,7 @@ import os
 import subprocess
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,6 +277,46 @@ def alias_table(x: Fixture) -> DataFrame:
     return _rows(x, [(k, found.get(k)) for k, _ in _ALIASES] + [("dart", repository.dart_package(root))], "prefix string, target string")
 
 
+_EXPORTS = """import View from './view';
+export { a, b as c } from './x';
+export * from './all';
+export { View };
+export default Quiet;
+export abstract class Shape {}
+class Quiet {}
+function late() {}
+class Hidden {}
+"""
+
+
+@query("extract_exports", _values([("re-export", "a,b", "./x"), ("re-export", "", "./all"), ("named", "View", None), ("default", "Quiet", None), ("named", "Shape", None), ("function late", "false", None)], "kind, names, source"))
+def extract_exports(x: Fixture) -> DataFrame:
+    """Exports of a module, and a function that none of them names."""
+    from codeweave.operators import extract
+
+    rows = _rows(x, [("m.ts", "typescript", 0, _EXPORTS, "full")], "path string, language string, parse_order long, content string, mode string")
+    p = extract.extract(rows)
+    said = p.select(F.explode("exports").alias("e")).select(F.col("e.export_type").alias("kind"), F.array_join("e.names", ",").alias("names"), "e.source")
+    functions = p.select(F.explode("functions").alias("f")).select(F.concat(F.lit("function "), "f.name").alias("kind"), F.col("f.is_exported").cast("string").alias("names"), F.lit(None).cast("string").alias("source"))
+    return said.unionByName(functions)
+
+
+@query("generic_imports", "select 'src/' || n_name as source, n_nationkey::integer as line from nation where n_nationkey % 2 = 0 union all select 'pkg.' || n_name, n_nationkey from nation where n_nationkey % 2 = 1")
+def generic_imports(x: Fixture) -> DataFrame:
+    """Imports of a language without rules of its own: a string or a dotted name."""
+    from codeweave.operators.extract import Layout
+    from codeweave.operators.imports import generic
+
+    def run(frames):
+        for frame in frames:
+            found = [(r["source"], int(k)) for k, t in zip(frame["n_nationkey"], frame["text"]) for r in generic(t, t, Layout(t))]
+            yield pd.DataFrame(found, columns=["source", "line"])
+
+    k = F.col("n_nationkey")
+    text = F.when(k % 2 == 0, F.concat(F.lit("local x = 1\nimport 'src/"), "n_name", F.lit("'\n"))).otherwise(F.concat(F.lit("  import pkg."), "n_name", F.lit(" as y\n")))
+    return x.t("nation").select("n_nationkey", text.alias("text")).mapInPandas(run, "source string, line int")
+
+
 # Notices (S19) -------------------------------------------------------------------------------------------------------
 
 @query("notices_coalesced", "select event_type as project, max(user_id::varchar) as repo, count(*)::bigint as notices from events where event_type is not null and user_id is not null group by 1")

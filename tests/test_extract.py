@@ -40,3 +40,16 @@ def test_script_lines_stay(mode, text):
     out = script_only(text, mode)
     assert out.count("\n") == text.count("\n")
     assert all(x in ("", "let a", "let b") for x in out.split("\n")) and ("let a" in out) == ("let a" in text)
+
+
+def test_python_with_errors():
+    """An error costs its own line or statement; the rest, with its lines, is found."""
+    from codeweave.operators.extract import python
+
+    text = "import os\n\nclass A(B):\n    def good(self):\n        return 1\n    def bad(self:\n        x = = 2\n    def also(self, y): pass\n\ndef broken(:\n    pass\n\n@deco\ndef fine(a,\n         b):\n    return (a\n)\n\nprint 'old'\nfrom x import y\n"
+    got = python(text)
+    assert [(c["name"], c["parents"], c["line"]) for c in got["classes"]] == [("A", ["B"], 3)]
+    assert {"good", "also"} <= {m["name"] for m in got["methods"]} and ("fine", 14) in [(f["name"], f["line"]) for f in got["functions"]]
+    assert [i["source"] for i in got["imports"]] == ["os", "x"]
+    whole = "class A:\n    def f(self): pass\n\ndef g(): pass\n"
+    assert python(whole + "def (\n")["functions"] == python(whole)["functions"] and python("\x00") == python("") == python("((((")
