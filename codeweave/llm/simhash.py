@@ -182,6 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 WIDE_WORDS, WIDE_PIVOTS, BANDS, IN_BAND, SMALL, CROWD = 4, 8, 20, 4, 20, 32
 #: Bits: spread allowed beyond the expectation (five standard deviations), more of it for small sets, and the reach of a leader.
 SPREAD, SMALL_SPREAD, REACH = 28, 24, 6
+#: Members of a cluster in one block.
+MEMBERS = 2048
 ODD = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.random.default_rng(SEED + 1).integers(1 << 62, 1 << 63, IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -320,11 +322,13 @@ def jaccard_links(sets: list[np.ndarray], others: list[np.ndarray], similarity:
     return out
 
 
-def true_links(cluster: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def true_links(cluster: np.ndarray, sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of sets of one cluster whose exact Jaccard similarity is ``similarity`` or more, as forests. Clusters are in order.
 
-    A set that has been reached is not compared with others that have been, which loses no link between components.
+    A set that has been reached is not compared with others that have been, which loses no link between components. Only sets whose sizes and
+    fingerprints allow the similarity (:func:`farthest`) are compared.
     """
+    most = farthest(similarity)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     bounds = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True])
     for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -340,8 +344,10 @@ def true_links(cluster: np.ndarray, sets: list[np.ndarray], similarity: float) -
             while todo and len(rest):
                 at = todo.pop()
                 own = flat[ends[at]:ends[at + 1]]
-                mark[own] = True
                 near = rest[np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at]) - 1e-9]
+                spread = np.where(np.minimum(size[near], size[at]) <= SMALL, SMALL_SPREAD, 0)
+                near = near[_differing(fps[lo + near], fps[lo + at]) <= most + spread]
+                mark[own] = True
                 both = np.array([np.count_nonzero(mark[flat[ends[r]:ends[r + 1]]]) for r in near], np.int64)
                 mark[own] = False
                 hit = near[both + 1e-9 >= similarity * (size[near] + size[at] - both)] if len(near) else near
@@ -396,7 +402,7 @@ def _named(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingle_set(v.as_py() or "", words).tobytes() for v in batch.column(2)], pa.binary())], ["node", "root", "set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle_set(v.as_py() or "", words).tobytes() for v in batch.column(3)], pa.binary())], ["node", "root", "fp", "set"])
 
     def with_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,18 +411,22 @@ def _named(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def exact(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node = t.column("node").to_numpy()
-        yield _link_batch(node, *true_links(t.column("root").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()], similarity))
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+        yield _link_batch(node, *true_links(t.column("pair").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()], fps, similarity))
 
     # one document stands for each set of a cluster; its set is made again from its text
-    pick = (marked.join(clusters, "node").groupBy("node", "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("w"))
-            .select("node", "root", F.col("w.doc_id").alias("p_id"), F.col("w.sha").alias("p_sha")))
-    texts = (rows.join(pick, rows["doc_id"].eqNullSafe(pick["p_id"]) & (rows["sha"] == pick["p_sha"])).select("node", "root", "text"))
-    sets = settle(texts.mapInArrow(with_set, "node long, root long, set binary"), "sets")
+    pick = (marked.join(clusters, "node").groupBy("node", "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "fp")).alias("w"))
+            .select("node", "root", "w.fp", F.col("w.doc_id").alias("p_id"), F.col("w.sha").alias("p_sha")))
+    texts = (rows.join(pick, rows["doc_id"].eqNullSafe(pick["p_id"]) & (rows["sha"] == pick["p_sha"])).select("node", "root", "fp", "text"))
+    sets = settle(texts.mapInArrow(with_set, "node long, root long, fp binary, set binary"), "sets")
     # most clusters, the large ones of near copies before all, are done once every member has been held against the centre
     centres = sets.filter("node = root").select(F.col("root").alias("c_root"), F.col("set").alias("centre"))
     stars = settle(sets.join(centres, F.col("root") == F.col("c_root")).select("node", "root", "set", "centre").mapInArrow(with_centre, "node long, root long, linked boolean"), "stars")
-    open_ = stars.filter("not linked").select("root").distinct()
-    rest = sets.join(open_, "root", "left_semi").repartition("root").sortWithinPartitions("root").mapInArrow(lambda it: _by_key(it, "root", exact), "a long, b long")
+    open_ = settle(stars.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.min("linked").alias("done")).filter("not done").select("root", F.ceil(F.col("m") / MEMBERS).alias("blocks")), "open")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rest = (sets.join(open_, "root").withColumn("own", own).withColumn("other", other)
+            .select("node", "fp", "set", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("pair"))
+            .repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda it: _by_key(it, "pair", exact), "a long, b long"))
     roots = components(rest.unionByName(stars.filter("linked").select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return settle(marked.select("doc_id", "sha", "node").join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root")), "named")
 
@@ -427,8 +437,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Fingerprints of 256 bits over the sets, with their distances to pivots, only choose candidates. Entries meet by BANDS keys of IN_BAND least hashes each,
     whatever the size of the corpus (a pair at 0.8 shares no key once in 38,000 times, one above it more rarely); sets of up to SMALL shingles also meet by the first of
     their hashes, which is complete. In a crowd that shares a key only leaders are compared, and by the triangle inequality wide enough
-    that no pair of followers is lost. Candidates form clusters. Each member is held against its cluster's centre by a join; only clusters that this leaves
-    open are compared set by set in one task. Links are exact: no pair below the threshold is linked.
+    that no pair of followers is lost. Candidates form clusters. Each member is held against its cluster's centre by a join; clusters that this leaves
+    open are compared set by set, by a task for each pair of blocks of at most about MEMBERS members. Links are exact: no pair below the threshold is linked.
     """
     named = _named(docs, words, similarity)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

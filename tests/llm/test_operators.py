@@ -126,7 +126,7 @@ def test_bpe_memory_is_flat(both):
     import tracemalloc
 
     most = []
-    for n in (1 << 20, 1 << 23):
+    for n in (1 << 18, 1 << 20):
         for text in (" some words and" * (n // 15), "ab" * (n // 2)):
             tracemalloc.start()
             count = sum(len(p) for p in both[0].encode(text))
@@ -572,8 +572,10 @@ def test_similar_groups_on_both_sides_of_the_threshold(spark):
     assert [(i, got[i + 1] == i) for i, _ in pairs] == pairs
 
 
-def test_similar_pairs_are_found_at_the_threshold(spark):
+@pytest.mark.parametrize("members", [simhash.MEMBERS, 40])
+def test_similar_pairs_are_found_at_the_threshold(spark, monkeypatch, members):
     """Pairs at similarities from 0.8 on by scattered changes of single words; a crowd of near copies, a third of all rows, is one group."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     rng, texts, pairs = random.Random(21), [], []
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
     sets = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
@@ -593,10 +595,20 @@ def test_similar_pairs_are_found_at_the_threshold(spark):
         w = base[:]
         w[rng.randrange(300)] = word()
         texts.append(" ".join(w))
+    # copies that are further from each other than from the text they come from: groups by brute force
+    loose = len(texts)
+    for i in range(150):
+        w = base[:]
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(300)] = "n" + word()
+        texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
     assert [(i, got[i + 1] == i) for i, _ in pairs] == pairs
-    assert {got[i] for i in range(crowd, len(texts))} == {crowd}
+    assert {got[i] for i in range(crowd, loose)} == {crowd}
+    own = {i: sets(texts[i].split()) for i in range(crowd, len(texts))}
+    linked = lambda a, b: len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])
+    assert {i: got[i] for i in own} == groups_by_hand(own, lambda a, b: b >= loose and linked(a, b) or b < loose)
 
 
 def test_leaders_lose_no_pair():
