@@ -12,6 +12,9 @@ that is large even so is parted again by the bits that are still free (three par
 ordered by their first pivot distance and only those within ``radius`` of each other meet. A bucket reports a forest of its verified links, not every pair, which
 loses no link between components.
 
+Forests depend on the order of rows, so buckets are put in full order: a task that runs again after an executor is lost reports the same links, and
+tasks that have read the first report fit those that read the second.
+
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and link like any other; ties need no
 rule as the component is named by its least id; repeated rows give repeated results; a null id takes part in linking but
 never names a component unless it is alone; an empty table gives an empty result.
@@ -168,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = settle(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).mapInArrow(_tables, "fp long, least long, far binary"), "distinct")
-    met = distinct.select("fp", "far").mapInArrow(_keys, "key long, fp long, far binary").repartition("key").sortWithinPartitions("key")
+    met = distinct.select("fp", "far").mapInArrow(_keys, "key long, fp long, far binary").repartition("key").sortWithinPartitions("key", "fp")
     roots = components(met.mapInArrow(lambda it: _by_key(it, "key", _links), "a long, b long"))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -397,7 +400,7 @@ def _named(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     marked = settle(rows.mapInArrow(mark, "doc_id long, sha string, fp binary, far binary, n long, node long, keys array<long>"), "wide")
     entries = marked.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "far", "n", "keys")))
     met = settle(entries.select(F.explode("keys").alias("key"), "node", "fp", "far", "n").mapInArrow(_thin, MET), "met")
-    firm = met.filter("leader is null").drop("leader").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _by_key(it, "key", _loose(similarity)), "a long, b long")
+    firm = met.filter("leader is null").drop("leader").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _by_key(it, "key", _loose(similarity)), "a long, b long")
     clusters = components(firm.unionByName(met.filter("leader is not null").select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +429,7 @@ def _named(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rest = (sets.join(open_, "root").withColumn("own", own).withColumn("other", other)
             .select("node", "fp", "set", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("pair"))
-            .repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda it: _by_key(it, "pair", exact), "a long, b long"))
+            .repartition("pair").sortWithinPartitions("pair", "node").mapInArrow(lambda it: _by_key(it, "pair", exact), "a long, b long"))
     roots = components(rest.unionByName(stars.filter("linked").select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return settle(marked.select("doc_id", "sha", "node").join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root")), "named")
 

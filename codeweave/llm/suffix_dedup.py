@@ -356,7 +356,7 @@ def _range_rows(width: int):
 
 
 def _sort(members: DataFrame, group: str) -> DataFrame:
-    return (members.select(group, "k", "pos", "n", "text", "before").repartition(group).sortWithinPartitions(group)
+    return (members.select(group, "k", "pos", "n", "text", "before").repartition(group).sortWithinPartitions(group, "k", "pos")
             .mapInArrow(_sorted_groups, "k binary, pos long, pairs array<int>"))
 
 

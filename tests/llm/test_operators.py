@@ -611,6 +611,22 @@ def test_similar_pairs_are_found_at_the_threshold(spark, monkeypatch, members):
     assert {i: got[i] for i in own} == groups_by_hand(own, lambda a, b: b >= loose and linked(a, b) or b < loose)
 
 
+def test_links_do_not_depend_on_the_order_of_arrival(spark):
+    """Tasks that run again get their rows in another order; after the sort of a bucket the links are the same rows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    rows = [(b % 3, b ^ sum(1 << rng.randrange(60) for _ in range(rng.randrange(3)))) for b in base for _ in range(9)]
+    table = spark.createDataFrame(sorted(set(rows)), "key long, fp long").mapInArrow(lambda it: it, "key long, fp long")
+    far = table.selectExpr("fp", "key as least").mapInArrow(simhash._tables, "fp long, least long, far binary").selectExpr("least as key", "fp", "far")
+    told = set()
+    for seed in range(3):
+        met = far.orderBy(F.xxhash64("fp", F.lit(seed))).repartition("key").sortWithinPartitions("key", "fp")
+        told.add(tuple(sorted((r["a"], r["b"]) for r in met.mapInArrow(lambda it: simhash._by_key(it, "key", simhash._links), "a long, b long").collect())))
+    assert len(told) == 1 and len(told.pop()) > 20
+
+
 def test_leaders_lose_no_pair():
     """Crowds: every pair within the allowed bits is joined through leaders, across two rounds of them."""
     rng = np.random.default_rng(5)
