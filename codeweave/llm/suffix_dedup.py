@@ -50,8 +50,8 @@ from codeweave.llm.common import settle, settle_by, spread_join
 LENGTH, GRAM, SHALLOW, LARGE, BLOCK = 200, 32, 64, 512, 1 << 22
 REACH = LENGTH - GRAM
 BASE = 0x9E3779B97F4A7C15
-#: Anchor rows of one output batch.
-ROWS = 1 << 17
+#: Rows of one output batch, about.
+ROWS = 1 << 14
 
 
 # Anchors -------------------------------------------------------------------------------------------------------------
@@ -332,9 +332,18 @@ WIDTHS = (43, 7, 1)
 def _range_rows(width: int):
     """Per context and range [a, stop) of offsets to look at: hashes of what its strings share and of all they span."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:5]), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[5:])],
+                ["k", "pos", "n", "a", "stop", "core", "whole"])
+
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for h, k, pos, text, before, todo in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*batch.columns):
+                h, k, pos, text, before, todo = (v.as_py() for v in row)
+                if len(out[0]) >= ROWS:
+                    yield made(out)
+                    out = [[], [], [], [], [], [], []]
                 after = len(text) - before
                 for first, last, n in zip(todo[::3], todo[1::3], todo[2::3]):
                     for a in range(first, last, width):
@@ -349,9 +358,7 @@ def _range_rows(width: int):
                         for col, v in zip(out, row):
                             col.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:5]), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[5:])],
-                    ["k", "pos", "n", "a", "stop", "core", "whole"])
+                yield made(out)
     return run
 
 
@@ -414,17 +421,24 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+
+    def made(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "k", "pos", "n", "text", "before", "classes"])
+
     for batch in batches:
         out: list[list] = [[], [], [], [], [], [], []]
-        for k, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            data = open_.decompress(z.as_py())
-            for w in wanted:
+        for name, z, wanted in zip(*batch.columns):
+            data, k = open_.decompress(z.as_py()), name.as_py()
+            for w in wanted.as_py():
+                if len(out[0]) >= ROWS:
+                    yield made(out)
+                    out = [[], [], [], [], [], [], []]
                 p = w["pos"]
                 for col, v in zip(out, (w["h"], k, p, w["n"], data[max(0, p - REACH):p + LENGTH], min(p, REACH), w["classes"])):
                     col.append(v)
         if out[0]:
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "k", "pos", "n", "text", "before", "classes"])
+            yield made(out)
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -444,10 +458,10 @@ def _results(with_text: bool):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for z, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            for z, spans in zip(batch.column(1), batch.column(2)):
                 data = open_.decompress(z.as_py())
                 ranges = []
-                for s in spans or ():
+                for s in spans.as_py() or ():
                     p, pairs = s["pos"], s["pairs"]
                     if s["runs"] is not None:
                         ranges += zip(s["runs"][::2], s["runs"][1::2])
