@@ -114,4 +114,18 @@ ORACLE_SQL: dict[str, str] = {
         select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.x) as text_sha256,
                octet_length(encode(t.x))::bigint as n_bytes
         from t join g using (x)""",
+    "op9_secrets": r"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
+        k(kind, place, pattern, least_value, least) as (values
+          ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8, 0),
+          ('access', 1, '(AKIA[A-Z0-9]+)', 0, 16), ('hex', 2, '([0-9a-f]+)', 0, 32),
+          ('github', 3, 'gh[pousr]_([A-Za-z0-9]+)', 36, 0), ('pem', 4, '-----BEGIN\x20([A-Z\x20]*PRIVATE\x20KEY-----)', 0, 0)),
+        l as (select r, kind, place, least_value, least, regexp_extract_all(x, pattern, 0) as wholes, regexp_extract_all(x, pattern, 1) as vals, regexp_split_to_array(x, pattern) as gaps from d, k),
+        m as (select r, kind, place, least_value, least, unnest(range(len(wholes))) as i, unnest(wholes) as w, unnest(vals) as v, unnest(gaps[:len(wholes)]) as gap from l),
+        p as (select *, sum(length(gap) + length(w)) over (partition by r, place order by i) as b from m),
+        s as (select r, place, (b - length(w))::bigint as a, kind || ':' || (b - length(w))::bigint || ':' || b::bigint as said from p where length(v) >= least_value and length(w) >= least),
+        g as (select r, count(*) filter (place = 0) as n_assign, count(*) filter (place = 1) as n_access, count(*) filter (place = 2) as n_hex,
+              string_agg(said, ',' order by a, place) filter (place < 3) as base, string_agg(said, ',' order by a, place) as spans from s group by r)
+        select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join g using (r)""",
 }

@@ -838,6 +838,27 @@ def test_lang_accepted(spark, docs):
 
 # all -----------------------------------------------------------------------------------------------------------------
 
+def test_secrets_sql_on_generated_texts():
+    """The SQL form, of another regex engine, against the automata on texts made of pieces of secrets."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(5)
+    bits = ["password", "PassWd", "\u017fecret", "toKen", "api_key", "APIKEY", '"', "'", " ", ":", "=", "AKIA", "ABCD1234", "EFGHIJKLMNOP", "0123456789abcdef", "deadbeef" * 4,
+            "f", "ghp_", "a1B2" * 9, "-----BEGIN ", "RSA PRIVATE KEY-----", "PRIVATE KEY-----", "\n", "\u00e9", "\u65e5\u672c", "\U0001f600", "e\u0301", "+/=.-_", "x", "\t"]
+    documents = pd.DataFrame([(i, "".join(rng.choice(bits) for _ in range(rng.randrange(30)))) for i in range(4000)], columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = dict(con.execute(f"select doc_id, spans from ({queries.ORACLE_SQL['op9_secrets']})").fetchall())
+    s = secrets.scanner()
+    seen = set()
+    for i, text in zip(documents.doc_id, documents.text):
+        found = s.scan(text)
+        seen |= {k for _, k, _ in found}
+        assert ",".join(f"{s.rules[k].kind}:{a}:{b}" for a, k, b in found) == want[i], text
+    assert seen == set(range(len(secrets.RULES)))
+
+
 def test_oracles(spark):
     import duckdb
 
