@@ -15,7 +15,7 @@ neighbours is taken. Clustered vectors need few cells; directionless ones need m
 
 Distribution. Equal vectors are collapsed to one entry with the few least ids that any answer can need. Index entries
 and queries meet by cell in blocks of entries, so a crowded cell is dealt out over many tasks; each block returns its few
-best for each query and a last aggregation merges them. Entries keep their vectors, as bytes of the precision they came in: with one query in fifty rows,
+best for each query, none where nothing reaches the mark, and a last aggregation merges them. Entries keep their vectors, as bytes of the precision they came in: with one query in fifty rows,
 fetching the vectors of a shortlist of R for each would move the table R / 50 times.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or
@@ -45,6 +45,8 @@ PER_CELL, MOST, FLAT = 8, 1 << 20, 2048
 ROUNDING = 1e-9
 #: Index entries and queries that meet in one task, at most on average.
 BLOCK, QUERY_BLOCK = 4096, 32_768
+#: Components of the pairs of queries and entries that are held at once.
+PAIRS = 1 << 22
 
 
 class Index(NamedTuple):
@@ -134,6 +136,31 @@ def best_of(about: np.ndarray, slack: np.ndarray, exact, k: int, mark: float = -
     return reach[score >= top], score[score >= top]
 
 
+def best_of_all(about: np.ndarray, slack: np.ndarray, near, exact, k: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of queries, places and exact scores of what :func:`best_of` finds for every query, a row of ``about`` each.
+
+    ``near`` gives the scores of a query's places up to ROUNDING, from their vectors, and ``exact`` the exact scores of pairs. What reaches a mark by its bound but not by its exact score is left out, so a block far from a query's best says nothing.
+    """
+    reach = about + slack + ROUNDING >= marks[:, None]
+    many = np.flatnonzero(np.count_nonzero(reach, axis=1) > max(FIRST, k))
+    reach[many] = False
+    i, at = np.nonzero(reach)
+    ends = np.searchsorted(i, np.arange(len(marks) + 1)).tolist()
+    close = np.concatenate([near(m, at[a:b]) for m, (a, b) in enumerate(zip(ends, ends[1:]))]) >= marks[i] - ROUNDING
+    i, at = i[close], at[close]
+    score = exact(i, at)
+    order = np.lexsort((-score, i))
+    i, at, score = i[order], at[order], score[order]
+    start, end = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    best = score >= score[np.minimum(start + k, end) - 1]
+    found = [(i[best], at[best], score[best])]
+    for m in many:
+        places, scores = best_of(about[m], slack, lambda at: exact(np.full(len(at), m), at), k, marks[m])  # noqa: B023
+        found.append((np.full(len(places), m), places, scores))
+    i, at, score = (np.concatenate(c) for c in zip(*found))
+    return i[score >= marks[i]], at[score >= marks[i]], score[score >= marks[i]]
+
+
 def probes_for(index: Index, x: np.ndarray, k: int, target: float = TARGET) -> int:
     """Cells to look into so that they hold ``target`` of the true k nearest among the sample ``x``."""
     x = unit(x.astype(np.float64))
@@ -236,21 +263,30 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         x = scaled(np.frombuffer(b"".join(left["x"]), width).astype(np.float64).reshape(len(left), dim))
         norms = np.sqrt((x * x).sum(axis=1))
+        ux = x / norms[:, None]
         ids, slack = left["ids"].to_numpy(), left["slack"].to_numpy()
         coarse = ix.coarse[int(left["cell"].iloc[0])]
-        part = dim // len(ix.words)
         queries, best = [], []
-        for name, q, mark in zip(right["query"], right["qv"], right["mark"]):
-            q = scaled(np.frombuffer(q, width).astype(np.float64)[None, :])[0]
-            own = q / np.sqrt((q * q).sum())
-            table = np.einsum("pkw,pw->pk", ix.words, own.reshape(-1, part))
-            about = own @ coarse + table[np.arange(len(table)), codes].sum(axis=1)
-            length = np.sqrt((q * q).sum())
-            places, scores = best_of(about, slack, lambda at: (x[at] * q).sum(axis=1) / (norms[at] * length), k + 1, mark)
-            found = [(float(-s), int(i)) for s, c in zip(scores, places) for i in ids[c]]
-            queries.append(name)
-            best.append([{"minus": a, "vec_id": b} for a, b in sorted(found)[:k + 1]])
-        return pd.DataFrame({"query": queries, "best": best})
+        name, marks = right["query"].to_numpy(), right["mark"].to_numpy()
+        asked_x = scaled(np.frombuffer(b"".join(right["qv"]), width).astype(np.float64).reshape(len(right), dim))
+        lengths = np.sqrt((asked_x * asked_x).sum(axis=1))
+        step = max(1, min(512, PAIRS // dim // len(left)))
+        for lo in range(0, len(right), step):
+            q, length = asked_x[lo:lo + step], lengths[lo:lo + step]
+            own = q / length[:, None]
+            tables = np.matmul(own.reshape(len(q), len(ix.words), -1).transpose(1, 0, 2), ix.words.transpose(0, 2, 1))
+            about = np.repeat((own @ coarse)[:, None], len(left), axis=1)
+            for table, code in zip(tables, codes.T):
+                about += table[:, code]
+            near = lambda m, at: ux[at] @ own[m]  # noqa: B023, E731
+            exact = lambda i, at: (x[at] * q[i]).sum(axis=1) / (norms[at] * length[i])  # noqa: B023, E731
+            found: dict[int, list[tuple[float, int]]] = {}
+            for i, c, score in zip(*(v.tolist() for v in best_of_all(about, slack, near, exact, k + 1, marks[lo:lo + step]))):
+                found.setdefault(i, []).extend((-score, int(e)) for e in ids[c])
+            for i, some in found.items():
+                queries.append(name[lo + i])
+                best.append([{"minus": minus, "vec_id": e} for minus, e in sorted(some)[:k + 1]])
+        return pd.DataFrame({"query": np.array(queries, np.int64), "best": pd.Series(best, dtype=object)})
 
     def meet(asking: DataFrame) -> DataFrame:
         return (dealt.groupBy("cell", "block", "part").cogroup(asking.groupBy("cell", "block", "part"))

@@ -221,6 +221,14 @@ def test_ann_codes_decide_and_lose_nothing():
             got = np.sort(ann.best_of(said @ q, slack, exact, 6, mark)[1])
             assert np.allclose(got[-min(6, len(got)):], want[-min(6, len(got)):]) and len(got) >= (3 if mark == want[3] else 6)
     assert scored < 0.35 * 30 * len(x)
+    # all queries together find the same, and nothing that does not reach a mark
+    asked, n = u[::400], 600
+    for marks in (np.full(len(asked), -np.inf), np.sort(asked @ u[:n].T, axis=1)[:, -4]):
+        exact = lambda i, at: (u[at] * asked[i]).sum(axis=1)
+        i, at, score = ann.best_of_all(asked @ said[:n].T, slack[:n], lambda m, at: u[at] @ asked[m], exact, 6, marks)
+        for m, q in enumerate(asked):
+            want = sorted(((u[:n] * q).sum(axis=1)), reverse=True)[:6]
+            assert sorted(score[i == m], reverse=True) == [s for s in want if s >= marks[m]] and np.array_equal(score[i == m], exact(i[i == m], at[i == m]))
 
 
 def test_ann_any_finite_size(spark):
