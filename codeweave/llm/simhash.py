@@ -250,11 +250,14 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, far: np.ndarray, reach: np.nda
     return _forest(n, np.concatenate(a), np.concatenate(b))
 
 
-def leaders(fps: np.ndarray) -> np.ndarray:
-    """For each row the place of its leader, at most REACH bits away; leaders are their own."""
+def leaders(fps: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the place of its leader, at most REACH bits away; leaders are their own.
+
+    Small sets follow small ones only, so that a leader is allowed the spread that its followers need.
+    """
     out, rest = np.empty(len(fps), np.int64), np.arange(len(fps))
     while len(rest):
-        own = _differing(fps[rest], fps[rest[0]]) <= REACH
+        own = (_differing(fps[rest], fps[rest[0]]) <= REACH) & ((n[rest] <= SMALL) == (n[rest[0]] <= SMALL))
         out[rest[own]] = rest[0]
         rest = rest[~own]
     return out
@@ -285,10 +288,10 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch]).sort_by("key").combine_chunks()
-        key, node, fps, _, _ = _columns(t)
+        key, node, fps, _, n = _columns(t)
         follow = np.arange(len(key))
         for crowd in _crowds(key):
-            follow[crowd] = crowd[leaders(fps[crowd])]
+            follow[crowd] = crowd[leaders(fps[crowd], n[crowd])]
         out = t.append_column("leader", pa.array(node[follow], pa.int64(), mask=follow == np.arange(len(key))))
         yield from out.to_batches()
 
@@ -304,7 +307,7 @@ def _loose(similarity: float):
         few = np.ones(len(key), bool)
         for crowd in _crowds(key):
             few[crowd] = False
-            lead = leaders(fps[crowd])
+            lead = leaders(fps[crowd], n[crowd])
             moved = np.flatnonzero(lead != np.arange(len(crowd)))
             yield _link_batch(node[crowd], moved, lead[moved])
             own = crowd[np.unique(lead)]

@@ -635,8 +635,9 @@ def test_links_do_not_depend_on_the_order_of_arrival(spark):
     assert len(told) == 1 and len(told.pop()) > 20
 
 
-def test_leaders_lose_no_pair():
-    """Crowds: every pair within the allowed bits is joined through leaders, across two rounds of them."""
+@pytest.mark.parametrize("kinds", [[100], [15, 100]])
+def test_leaders_lose_no_pair(kinds):
+    """Crowds: every pair within the allowed bits is joined through leaders, across two rounds of them, small sets among them."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (6, simhash.WIDE_WORDS), dtype=np.uint64)
     fps = base[rng.integers(0, 6, 400)].copy()
@@ -647,7 +648,7 @@ def test_leaders_lose_no_pair():
 
     refs = simhash.pivots(simhash.WIDE_PIVOTS * simhash.WIDE_WORDS).reshape(simhash.WIDE_PIVOTS, simhash.WIDE_WORDS)
     far = [simhash._differing(refs, f).astype(np.uint8).tobytes() for f in fps]
-    t = pa.table({"key": np.zeros(400, np.int64), "node": np.arange(400), "fp": [f.tobytes() for f in fps], "far": far, "n": np.full(400, 100)})
+    t = pa.table({"key": np.zeros(400, np.int64), "node": np.arange(400), "fp": [f.tobytes() for f in fps], "far": far, "n": (n := rng.choice(kinds, 400))})
     edges = set()
     thin = pa.concat_tables([pa.Table.from_batches(simhash._thin(iter(t.slice(i, 100).to_batches()))) for i in range(0, 400, 100)])
     edges |= {(a, b) for a, b in zip(thin["node"].to_pylist(), thin["leader"].to_pylist()) if b is not None}
@@ -655,7 +656,7 @@ def test_leaders_lose_no_pair():
     for batch in simhash._loose(0.8)(left):
         edges |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
     got = groups_by_hand(range(400), lambda a, b: (a, b) in edges or (b, a) in edges)
-    close = [(i, j) for i in range(400) for j in range(i) if int(simhash._differing(fps[i], fps[j])) <= simhash.farthest(0.8)]
+    close = [(i, j) for i in range(400) for j in range(i) if int(simhash._differing(fps[i], fps[j])) <= simhash.farthest(0.8) + (simhash.SMALL_SPREAD if min(n[i], n[j]) <= simhash.SMALL else 0)]
     assert len(close) > 1000 and all(got[i] == got[j] for i, j in close) and left.num_rows < 400
 
 
