@@ -110,12 +110,22 @@ def imports(files: DataFrame, resolved: DataFrame) -> DataFrame:
     return pairs.join(known, pairs["src"] == known["path"], "left_semi").join(known, pairs["dst"] == known["path"], "left_semi").select(*_edge("IMPORTS", F.col("src"), F.col("dst")))
 
 
+def inherits_by_name(classes: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """INHERITS in two tables that grow with the classes alone: heirs ``src, parent_file, parent_name`` and bearers of a name ``parent_file, parent_name, dst``.
+
+    Their join has a row for every heir and every bearer of its parent's name, so it grows with the square of a name's classes.
+    """
+    known = parents.filter("confidence <> 'unresolved'").select("file_path", "name", "line", "parent_file", "parent_name")
+    key = element_key("Class", F.col("file_path"), F.col("name"), F.col("line"))
+    # all sides grow with the tables, and none goes through the driver
+    heirs = known.join(classes.select("file_path", "name", "line", key.alias("src")).hint("merge"), ["file_path", "name", "line"]).select("src", "parent_file", "parent_name")
+    return heirs, classes.select(F.col("file_path").alias("parent_file"), F.col("name").alias("parent_name"), key.alias("dst"))
+
+
 def inherits(classes: DataFrame, parents: DataFrame) -> DataFrame:
     """``parents(file_path, name, line, parent_name, parent_file, confidence)``; the target is found by file and name, whatever its line."""
-    known = parents.filter("confidence <> 'unresolved'")
-    target = classes.select(F.col("file_path").alias("parent_file"), F.col("name").alias("parent_name"), element_key("Class", F.col("file_path"), F.col("name"), F.col("line")).alias("dst"))
-    source = classes.select("file_path", "name", "line", element_key("Class", F.col("file_path"), F.col("name"), F.col("line")).alias("src"))
-    return known.join(source, ["file_path", "name", "line"]).join(target, ["parent_file", "parent_name"]).select(*_edge("INHERITS", F.col("src"), F.col("dst")))
+    heirs, bearers = inherits_by_name(classes, parents)
+    return heirs.join(bearers.hint("merge"), ["parent_file", "parent_name"]).select(*_edge("INHERITS", F.col("src"), F.col("dst")))
 
 
 def implements(classes: DataFrame, interfaces: DataFrame) -> DataFrame:

@@ -190,22 +190,25 @@ def resolve_inheritance(wanted: DataFrame, symbols: DataFrame, imports: DataFram
     order: defined in the same file (high); imported by name from a file that defines it (high); the only definition
     anywhere (medium) or the first of several (low); else unresolved with the parent as written.
     """
-    ask = wanted.withColumn("simple", paths.simple_name(F.col("parent"))).withColumn("__id", F.xxhash64("file_path", "name", "line", "pos", "parent"))
-    here = symbols.select(F.col("name").alias("simple"), F.col("file_path").alias("sym_file"), F.col("line").alias("sym_line"), F.col("parse_order").alias("sym_order"))
-    local = (ask.join(here, (ask["simple"] == here["simple"]) & (ask["file_path"] == here["sym_file"]))
-             .select("__id", F.struct(F.lit(1).alias("rule"), F.lit(0).cast("long").alias("o"), F.col("sym_order").alias("s"), "sym_file", "sym_line", F.lit("high").alias("confidence")).alias("hit")))
-    named = imports.filter("resolved_file is not null").select(F.col("file_path").alias("imp_file"), "resolved_file", "imported", "imp_order")
-    brought = (ask.withColumn("asked", F.explode(F.array_distinct(F.array("simple", "parent"))))
+    ask = wanted.withColumn("simple", paths.simple_name(F.col("parent")))
+    asked = ask.select("file_path", "parent", "simple").distinct()  # equal questions of a file are answered once
+    # of equal names in one file only the first can win, so no join multiplies; all sides grow with the tables, and none goes through the driver
+    firsts = (symbols.groupBy(F.col("name").alias("sym_name"), F.col("file_path").alias("sym_file")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("parse_order", "line")).alias("first"))
+              .select("sym_name", "sym_file", "n", F.col("first.parse_order").alias("sym_order"), F.col("first.line").alias("sym_line")).hint("merge"))
+    local = (asked.join(firsts, (F.col("simple") == F.col("sym_name")) & (F.col("file_path") == F.col("sym_file")))
+             .select("file_path", "parent", F.struct(F.lit(1).alias("rule"), F.lit(0).cast("long").alias("o"), F.col("sym_order").alias("s"), "sym_file", "sym_line", F.lit("high").alias("confidence")).alias("hit")))
+    named = imports.filter("resolved_file is not null").select(F.col("file_path").alias("imp_file"), "resolved_file", "imported", "imp_order").hint("merge")
+    brought = (asked.withColumn("asked", F.explode(F.array_distinct(F.array("simple", "parent"))))
                .join(named, (F.col("file_path") == F.col("imp_file")) & (F.col("asked") == F.col("imported")))
-               .join(here.withColumnRenamed("simple", "sym_name"), (F.col("simple") == F.col("sym_name")) & (F.col("resolved_file") == F.col("sym_file")))
-               .select("__id", F.struct(F.lit(2).alias("rule"), F.col("imp_order").cast("long").alias("o"), F.col("sym_order").alias("s"), "sym_file", "sym_line", F.lit("high").alias("confidence")).alias("hit")))
-    anywhere = here.groupBy("simple").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sym_order", "sym_file", "sym_line")).alias("first"))
-    other = (ask.join(anywhere, "simple").select("__id", F.struct(
+               .join(firsts, (F.col("simple") == F.col("sym_name")) & (F.col("resolved_file") == F.col("sym_file")))
+               .select("file_path", "parent", F.struct(F.lit(2).alias("rule"), F.col("imp_order").cast("long").alias("o"), F.col("sym_order").alias("s"), "sym_file", "sym_line", F.lit("high").alias("confidence")).alias("hit")))
+    anywhere = firsts.groupBy("sym_name").agg(F.sum("n").alias("n"), F.min(F.struct("sym_order", "sym_file", "sym_line")).alias("first")).hint("merge")
+    other = (asked.join(anywhere, F.col("simple") == F.col("sym_name")).select("file_path", "parent", F.struct(
         F.lit(3).alias("rule"), F.lit(0).cast("long").alias("o"), F.col("first.sym_order").alias("s"), F.col("first.sym_file").alias("sym_file"), F.col("first.sym_line").alias("sym_line"),
         F.when(F.col("n") == 1, "medium").otherwise("low").alias("confidence")).alias("hit")))
-    best = local.unionByName(brought).unionByName(other).groupBy("__id").agg(F.min("hit").alias("hit"))
+    best = local.unionByName(brought).unionByName(other).groupBy("file_path", "parent").agg(F.min("hit").alias("hit")).hint("merge")
     found = F.col("hit").isNotNull()
-    return ask.join(best, "__id", "left").select(
+    return ask.join(best, ["file_path", "parent"], "left").select(
         "file_path", "name", "line", "pos", "parent", F.when(found, F.col("simple")).otherwise(F.col("parent")).alias("parent_name"),
         F.col("hit.sym_file").alias("parent_file"), F.col("hit.sym_line").alias("parent_line"), F.coalesce("hit.confidence", F.lit("unresolved")).alias("confidence"))
 

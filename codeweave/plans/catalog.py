@@ -76,7 +76,7 @@ def _rebuilt(x: Fixture) -> dict[str, DataFrame]:
 
 def _inheritance(x: Fixture) -> DataFrame:
     c = x.classes()
-    imported = x.class_imports().join(c.select(F.col("file_path").alias("resolved_file"), F.col("name").alias("imported")).distinct(), "resolved_file").withColumn("imp_order", F.lit(0))
+    imported = x.class_imports().join(c.select(F.col("file_path").alias("resolved_file"), F.col("name").alias("imported")).distinct().hint("merge"), "resolved_file").withColumn("imp_order", F.lit(0))
     wanted = c.select("file_path", "name", "line", F.lit(0).alias("pos"), "parent")
     return resolve.resolve_inheritance(wanted, c.select("name", "file_path", "line", "parse_order"), imported)
 
