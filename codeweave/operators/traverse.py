@@ -14,11 +14,11 @@ def of_types(edges: DataFrame, *etypes: str) -> DataFrame:
 
 
 def step(start: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
-    """``v`` one edge away from ``start(v)``: ``out``, ``in`` or ``both``; one row an edge."""
+    """``v`` one edge away from ``start(v)``: ``out``, ``in`` or ``both``; one row an edge. Neither side goes through the driver."""
     out = edges.select(F.col("src").alias("v"), F.col("dst").alias("to"))
     back = edges.select(F.col("dst").alias("v"), F.col("src").alias("to"))
     way = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return start.select("v").join(way, "v").select(F.col("to").alias("v"))
+    return start.select("v").hint("merge").join(way.hint("merge"), "v").select(F.col("to").alias("v"))
 
 
 def khop(start: DataFrame, edges: DataFrame, hops: int, direction: str = "out", settle: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
@@ -30,7 +30,7 @@ def khop(start: DataFrame, edges: DataFrame, hops: int, direction: str = "out",
     for k in range(1, hops + 1):
         new = step(rings[-1], edges, direction).distinct()
         for ring in rings:
-            new = new.join(ring.select("v"), "v", "left_anti")
+            new = new.join(ring.select("v").hint("merge"), "v", "left_anti")
         rings.append(settle(new.withColumn("hop", F.lit(k)), "ring"))
     return functools.reduce(DataFrame.unionByName, rings)
 
@@ -39,7 +39,7 @@ def closure(start: DataFrame, edges: DataFrame, settle: Callable[[DataFrame, str
     """``v, hop`` of everything reachable. ``settle`` writes a round to shared storage, so lineage stays one round long."""
     seen = frontier = settle(start.select("v").distinct().withColumn("hop", F.lit(0)), "frontier")
     for k in range(1, max_rounds + 1):
-        frontier = settle(step(frontier, edges, direction).distinct().join(seen, "v", "left_anti").withColumn("hop", F.lit(k)), "frontier")
+        frontier = settle(step(frontier, edges, direction).distinct().join(seen.hint("merge"), "v", "left_anti").withColumn("hop", F.lit(k)), "frontier")
         if not frontier.take(1):
             return seen
         seen = settle(seen.unionByName(frontier), "seen")

@@ -23,3 +23,17 @@ def test_inherits_edges_broadcast_no_table_of_classes(spark, one_name):
     df = catalog.QUERIES["inherits_edges"](spark, one_name)
     assert "Broadcast" not in plan(df)
     assert df.filter("src like '%red plate%' and dst like '%red plate%'").count() == CLASSES // 5 * (CLASSES * 4 // 5)
+
+
+def test_inherits_transitive_holds_no_row_a_pair(spark, one_name, monkeypatch):
+    settled = []
+
+    def settle(df, label, keep=catalog.settle):
+        settled.append((label, plan(df), keep(df, label)))
+        return settled[-1][2]
+
+    monkeypatch.setattr(catalog, "settle", settle)
+    df = catalog.QUERIES["inherits_transitive"](spark, one_name)
+    assert 0 < df.count() <= CLASSES and df.distinct().count() == df.count()
+    assert not [label for label, text, _ in settled if "Broadcast" in text]
+    assert max(df.count() for _, _, df in settled) <= 3 * CLASSES
