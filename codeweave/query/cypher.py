@@ -38,6 +38,11 @@ class Compiler:
             self.toks.append((m.lastgroup, m[m.lastgroup]))
             at = m.end()
         self.i, self.names, self.df, self.anonymous = 0, [], None, 0
+        # properties that the text speaks of, by name: only these travel with a vertex
+        self.wanted: dict[str, dict[str, None]] = {}
+        for (kind, name), (dot, between), (last, prop) in zip(self.toks, self.toks[1:], self.toks[2:]):
+            if (kind, dot, between, last) == ("id", "op", ".", "id"):
+                self.wanted.setdefault(name.strip("`"), {})[prop.strip("`")] = None
 
     # tokens ---------------------------------------------------------------------------------------------------------
 
@@ -110,13 +115,15 @@ class Compiler:
                 rows = rows.filter(F.col("props")[key] == F.lit(_text(self.literal())))
                 self.take(",")
         self.need(")")
-        return name, rows.select(F.col("v").alias(name), F.col("label").alias(f"{name}.label"), F.col("props").alias(f"{name}.props"))
+        props = [F.col("props")[p].alias(f"{name}.props.{p}") for p in self.wanted.get(name, {})]
+        # vertices and edges grow with the tables: neither goes through the driver
+        return name, rows.select(F.col("v").alias(name), F.col("label").alias(f"{name}.label"), *props).hint("merge")
 
     def bind(self, name: str, rows: DataFrame) -> None:
         if self.df is None:
             self.df, self.names = rows, [name]
         elif name in self.names:
-            self.df = self.df.join(rows.select(F.col(name).alias("__same")), F.col(f"`{name}`") == F.col("__same"), "left_semi")
+            self.df = self.df.join(rows.select(F.col(name).alias("__same")).hint("merge"), F.col(f"`{name}`") == F.col("__same"), "left_semi")
         else:
             self.df, self.names = self.df.crossJoin(rows), [*self.names, name]
 
@@ -153,10 +160,10 @@ class Compiler:
             if high > MAX_HOPS:
                 raise Unsupported(f"at most {MAX_HOPS} hops")
             right, rows = self.node()
-            reach = self.reach(left, types, low, high, way)
+            reach = self.reach(left, types, low, high, way).hint("merge")
             met = self.df.join(reach, F.col(f"`{left}`") == F.col("__from")).drop("__from")
             if right in self.names:
-                self.df = met.join(rows.select(F.col(right).alias("__same")), F.col("__to") == F.col("__same"), "left_semi").filter(F.col("__to") == F.col(f"`{right}`")).drop("__to")
+                self.df = met.join(rows.select(F.col(right).alias("__same")).hint("merge"), F.col("__to") == F.col("__same"), "left_semi").filter(F.col("__to") == F.col(f"`{right}`")).drop("__to")
             else:
                 self.df, self.names = met.join(rows, F.col("__to") == F.col(f"`{right}`")).drop("__to"), [*self.names, right]
             left = right
@@ -172,7 +179,7 @@ class Compiler:
         front = start.withColumn("__to", F.col("__from"))
         found = [front] if low == 0 else []
         for k in range(1, high + 1):
-            front = front.join(one, F.col("__to") == F.col("f")).select("__from", F.col("t").alias("__to")).distinct()
+            front = front.join(one.hint("merge"), F.col("__to") == F.col("f")).select("__from", F.col("t").alias("__to")).distinct()
             if k >= low:
                 found.append(front)
         return reduce(lambda a, b: a.unionByName(b), found).distinct()
@@ -189,7 +196,7 @@ class Compiler:
                 raise Unsupported(f"unknown name {name}")
             if self.take("."):
                 prop = self.word()
-                return F.col(f"`{name}.props`")[prop], f"{name}.{prop}"
+                return F.col(f"`{name}.props.{prop}`"), f"{name}.{prop}"
             return F.col(f"`{name}`"), name
         x = self.literal()
         return F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)), str(x)

@@ -37,3 +37,15 @@ def test_inherits_transitive_holds_no_row_a_pair(spark, one_name, monkeypatch):
     assert 0 < df.count() <= CLASSES and df.distinct().count() == df.count()
     assert not [label for label, text, _ in settled if "Broadcast" in text]
     assert max(df.count() for _, _, df in settled) <= 3 * CLASSES
+
+
+def test_cypher_match_broadcasts_no_table_and_carries_no_whole_properties(spark):
+    from codeweave.query import cypher, sql
+
+    df = catalog.QUERIES["cypher_match"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in plan(df)
+    v = spark.createDataFrame([("x", "A", {"name": "n", "note": "long"}), ("y", "B", {"name": "m"})], "v string, label string, props map<string,string>")
+    e = spark.createDataFrame([("T", "x", "y")], "etype string, src string, dst string")
+    c = cypher.Compiler(v, e, "MATCH (a:A)-[:T]->(`b c`) WHERE `b c`.name = 'm' RETURN a.name, a.none, `b c`.name AS other, labels(a) AS l")
+    assert [tuple(r) for r in c.run().collect()] == [("n", None, "m", "A")]
+    assert not [t for _, t in c.df.dtypes if t.startswith("map")]
