@@ -98,15 +98,15 @@ def contains_files(files: DataFrame) -> DataFrame:
 
 
 def contains_elements(files: DataFrame, kind: str, elements: DataFrame) -> DataFrame:
-    """Joined on the file; elements with one key multiply as rows do."""
+    """Joined on the file; elements with one key multiply as rows do. Files and elements grow with the tables: none goes through the driver."""
     held = elements.select("file_path", element_key(kind, F.col("file_path"), F.col("name"), F.col("line")).alias("dst"))
-    return files.select(F.col("path").alias("file_path")).join(held, "file_path").select(*_edge("CONTAINS", F.col("file_path"), F.col("dst")))
+    return files.select(F.col("path").alias("file_path")).hint("merge").join(held.hint("merge"), "file_path").select(*_edge("CONTAINS", F.col("file_path"), F.col("dst")))
 
 
 def imports(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """``resolved(file_path, resolved_file)``: a target once a source, never the file itself, both ends stored."""
     pairs = resolved.filter("resolved_file is not null and resolved_file <> file_path").select(F.col("file_path").alias("src"), F.col("resolved_file").alias("dst")).distinct()
-    known = files.select("path")
+    known = files.select("path").hint("merge")
     return pairs.join(known, pairs["src"] == known["path"], "left_semi").join(known, pairs["dst"] == known["path"], "left_semi").select(*_edge("IMPORTS", F.col("src"), F.col("dst")))
 
 
@@ -132,7 +132,7 @@ def implements(classes: DataFrame, interfaces: DataFrame) -> DataFrame:
     """``classes(file_path, name, line, implements)``: an edge to every stored interface of that name in the project."""
     wanted = classes.select(element_key("Class", F.col("file_path"), F.col("name"), F.col("line")).alias("src"), F.explode("implements").alias("wanted"))
     offered = interfaces.select(F.col("name").alias("wanted"), element_key("Interface", F.col("file_path"), F.col("name"), F.col("line")).alias("dst"))
-    return wanted.join(offered, "wanted").select(*_edge("IMPLEMENTS", F.col("src"), F.col("dst")))
+    return wanted.hint("merge").join(offered.hint("merge"), "wanted").select(*_edge("IMPLEMENTS", F.col("src"), F.col("dst")))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

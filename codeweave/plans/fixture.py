@@ -1,7 +1,8 @@
 """The driver tables seen as a code-structure graph, so that every graph operator has real rows to work on.
 
 Folders are regions and nations, files customers and suppliers, functions orders, methods line items (whose keys repeat),
-classes parts; customers import suppliers that they bought from, class files import the next brand's file.
+classes parts; customers import suppliers that they bought from, class files import the next brand's file. Of these only regions and nations, which don't
+grow with the tables, are broadcast: estimates by file size would send hundreds of thousands of customers through the driver.
 """
 
 from __future__ import annotations
@@ -25,24 +26,24 @@ class Fixture:
         return self.t("nation").join(self.t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("folder"))
 
     def customer_files(self) -> DataFrame:
-        return self.t("customer").join(self.places(), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws("/", "folder", "c_name").alias("path"))
+        return self.t("customer").join(F.broadcast(self.places()), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws("/", "folder", "c_name").alias("path"))
 
     def supplier_files(self) -> DataFrame:
-        return self.t("supplier").join(self.places(), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws("/", "folder", "s_name").alias("path"))
+        return self.t("supplier").join(F.broadcast(self.places()), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws("/", "folder", "s_name").alias("path"))
 
     def files(self) -> DataFrame:
         return self.customer_files().select("path").unionByName(self.supplier_files().select("path")).withColumn("language", F.lit(None).cast("string"))
 
     def functions(self) -> DataFrame:
-        o = self.t("orders").join(self.customer_files(), F.col("o_custkey") == F.col("c_custkey"))
+        o = self.t("orders").hint("merge").join(self.customer_files().hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
         k = F.col("o_orderkey")
         return o.select(F.col("path").alias("file_path"), F.concat(F.lit("o"), k.cast("string")).alias("name"), F.col("o_orderpriority").alias("params"), F.col("o_orderstatus").alias("return_type"),
                         (k % 1000).cast("int").alias("line"), (k % 1000 + 1).cast("int").alias("end_line"), (k % 2 == 0).alias("is_exported"), (k % 3 == 0).alias("is_async"), k.alias("o_orderkey"))
 
     def methods(self) -> DataFrame:
-        o = self.t("orders").join(self.customer_files(), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "path")
+        o = self.t("orders").hint("merge").join(self.customer_files().hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "path")
         l = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")  # noqa: E741
-        return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return l.hint("merge").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("path").alias("file_path"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("class_name"), F.col("l_linenumber").cast("string").alias("name"),
             F.col("l_returnflag").alias("params"), F.col("l_linestatus").alias("return_type"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_linenumber").cast("int").alias("end_line"), F.lit(False).alias("is_async"))
 
@@ -50,9 +51,9 @@ class Fixture:
         """``file_path, resolved_file``: a row for each line item."""
         o = self.t("orders").select("o_orderkey", "o_custkey")
         l = self.t("lineitem").select("l_orderkey", "l_suppkey").distinct()  # noqa: E741
-        return (l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
-                .join(self.customer_files().withColumnRenamed("path", "file_path"), F.col("o_custkey") == F.col("c_custkey"))
-                .join(self.supplier_files().withColumnRenamed("path", "resolved_file"), F.col("l_suppkey") == F.col("s_suppkey")).select("file_path", "resolved_file"))
+        return (l.hint("merge").join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+                .join(self.customer_files().withColumnRenamed("path", "file_path").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+                .join(self.supplier_files().withColumnRenamed("path", "resolved_file").hint("merge"), F.col("l_suppkey") == F.col("s_suppkey")).select("file_path", "resolved_file"))
 
     def classes(self) -> DataFrame:
         k = F.col("p_partkey")

@@ -19,6 +19,20 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def broadcast_scans(df):
+    """Scans below broadcasts of the plan, as their lists of columns."""
+    out, depth = [], None
+    for line in plan(df).splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if "BroadcastExchange" in line and depth is None:
+            depth = at
+        elif depth is not None and "Scan parquet" in line:
+            out.append(line[line.index("Scan parquet"):].split("[")[1].split("]")[0])
+    return out
+
+
 def test_inherits_edges_broadcast_no_table_of_classes(spark, one_name):
     df = catalog.QUERIES["inherits_edges"](spark, one_name)
     assert "Broadcast" not in plan(df)
@@ -49,3 +63,12 @@ def test_cypher_match_broadcasts_no_table_and_carries_no_whole_properties(spark)
     c = cypher.Compiler(v, e, "MATCH (a:A)-[:T]->(`b c`) WHERE `b c`.name = 'm' RETURN a.name, a.none, `b c`.name AS other, labels(a) AS l")
     assert [tuple(r) for r in c.run().collect()] == [("n", None, "m", "A")]
     assert not [t for _, t in c.df.dtypes if t.startswith("map")]
+
+
+@pytest.mark.parametrize("kind", ["CONTAINS", "IMPORTS", "INHERITS", "IMPLEMENTS"])
+def test_a_rebuilt_graph_broadcasts_only_regions_and_nations(spark, kind):
+    from codeweave.plans.fixture import Fixture
+
+    tables = catalog._rebuilt(Fixture(spark, "/root/testdata/sf0.001"))
+    scans = broadcast_scans(tables["edges"].filter(f"etype = '{kind}'")) + [c for t in tables if t != "edges" for c in broadcast_scans(tables[t])]
+    assert scans and {column[:2] for columns in scans for column in columns.split(",")} == {"n_", "r_"}
