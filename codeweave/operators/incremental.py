@@ -109,7 +109,7 @@ def _parse(spark, store, repo, root, project, incremental, changed_files, remove
     # the listing is small and would sit in few partitions; parsing is the work, so it is dealt out by path
     tasks = max(spark.sparkContext.defaultParallelism, wanted.count() // FILES_A_TASK)
     contents = tree.ship(wanted, root, f"{scratch(spark)}/codeweave/contents-{uuid.uuid4().hex}") if shipped else None
-    parsed = settle(extract.extract(tree.parse_mode(tree.read_files(wanted.repartition(tasks, "path"), root, contents))), "parsed")
+    parsed = settle(extract.extract(tree.parse_mode(tree.read_files(wanted.repartition(tasks, "path"), root, contents), config)), "parsed")
     ok = parsed.filter("mode <> 'failed'")
     failed = [r["path"] for r in parsed.filter("mode = 'failed'").select("path").collect()] if incremental else []
     symbols = store.class_symbols(project, ok.select("path")) if incremental else None

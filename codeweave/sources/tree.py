@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,14 +22,24 @@ from codeweave.functions import paths, registry
 
 @dataclass
 class Discovery:
-    """Options of a listing: ``include`` forces files in, ``exclude`` wins over it; patterns match whole relative paths."""
+    """Options of a listing: ``include`` forces files in, ``exclude`` wins over it; patterns match whole relative paths.
+
+    Files above ``max_file_size`` are not taken; of those above ``max_chars`` or ``max_lines`` only the file itself is, without elements. :meth:`whole` takes all of all.
+    """
 
     max_file_size: int = registry.MAX_FILE_BYTES
+    max_chars: int = registry.MAX_CHARS
+    max_lines: int = registry.MAX_LINES
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     folder: str = ""
     max_files: int = int(os.environ.get("MAX_FILES", registry.MAX_FILES))
 
+    @classmethod
+    def whole(cls, **options) -> Discovery:
+        """Without limits on the size of a file."""
+        return cls(max_file_size=sys.maxsize, max_chars=sys.maxsize, max_lines=sys.maxsize, **options)
+
 
 class TooManyFiles(RuntimeError):
     pass
@@ -124,12 +135,13 @@ def read_files(files: DataFrame, root: str, shipped: DataFrame | None = None) ->
     return files.select("path", "language", "parse_order").mapInPandas(run, "path string, language string, parse_order long, content string")
 
 
-def parse_mode(files: DataFrame) -> DataFrame:
+def parse_mode(files: DataFrame, config: Discovery | None = None) -> DataFrame:
     """``files(language, content)`` with ``mode``: ``full``, or ``passthrough`` for files that become a vertex without elements."""
+    config = config or Discovery()
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
     minified = (lines > 0) & (lines < registry.MINIFIED_LINES) & (F.length("content") / lines > registry.MINIFIED_WIDTH)
     plain = F.col("language").isin(registry.PASSTHROUGH) | ~F.col("language").isin(registry.STRUCTURAL)
-    large = (F.length("content") > registry.MAX_CHARS) | (lines > registry.MAX_LINES)
+    large = (F.length("content") > config.max_chars) | (lines > config.max_lines)
     return files.withColumn("mode", F.when(F.col("content").isNull(), "failed").when(plain | large | minified, "passthrough").otherwise("full"))
 
 

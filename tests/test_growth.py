@@ -1,7 +1,9 @@
 """Tables that grow with the input don't go through the driver, and no step holds a row for every pair of equal names."""
 
+import duckdb
 import pytest
 
+from codeweave.functions import registry
 from codeweave.plans import catalog, state  # noqa: F401
 
 CLASSES = 400
@@ -72,3 +74,38 @@ def test_a_rebuilt_graph_broadcasts_only_regions_and_nations(spark, kind):
     tables = catalog._rebuilt(Fixture(spark, "/root/testdata/sf0.001"))
     scans = broadcast_scans(tables["edges"].filter(f"etype = '{kind}'")) + [c for t in tables if t != "edges" for c in broadcast_scans(tables[t])]
     assert scans and {column[:2] for columns in scans for column in columns.split(",")} == {"n_", "r_"}
+
+
+@pytest.fixture(scope="module")
+def long_file(spark, tmp_path_factory):
+    """One nation has so many customers that its file is longer than the usual limit of lines."""
+    d = str(tmp_path_factory.mktemp("long_file"))
+    for t in ("region", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+    spark.range(registry.MAX_LINES // 3 + 100).selectExpr("id as c_custkey", "concat('c', id) as c_name", "if(id < 50, cast(id % 25 as int), 0) as c_nationkey").write.parquet(f"{d}/customer.parquet")
+    spark.range(50).selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 25 as int) as s_nationkey").write.parquet(f"{d}/supplier.parquet")
+    return d
+
+
+def sql_rows(name, d):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    return columns, sorted(want.fetchall())
+
+
+def test_parse_full_has_the_elements_of_long_files(spark, long_file):
+    columns, want = sql_rows("parse_full", long_file)
+    assert sorted(tuple(r) for r in catalog.QUERIES["parse_full"](spark, long_file).select(*columns).collect()) == want
+
+
+def test_limits_of_content_are_options(spark):
+    from codeweave.sources import tree
+
+    files = spark.createDataFrame([(1, "java", "\n" * (registry.MAX_LINES + 1)), (2, "css", "\n"), (3, "go", "\n" * 5)], "id int, language string, content string")
+    mode = lambda config: [r["mode"] for r in tree.parse_mode(files, config).orderBy("id").collect()]
+    assert mode(None) == ["passthrough", "passthrough", "full"]
+    assert mode(tree.Discovery.whole()) == ["full", "passthrough", "full"]
+    assert mode(tree.Discovery(max_lines=4)) == ["passthrough", "passthrough", "passthrough"]
